@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .jaccard_join import jaccard_components
+from .quality_rules import judge
 from .suffix_dedup import remove_repeats
 from .token_counts import with_token_counts
 
@@ -31,7 +32,7 @@ ORACLE["op7_jaccard_join"] = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 links AS (
   SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
@@ -60,3 +61,45 @@ def _tokenizer() -> str:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return with_token_counts(docs, _tokenizer()).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return judge(docs).select("doc_id", "measures.n_words", "measures.word_chars", "measures.n_symbols", "measures.n_dup_lines", "measures.n_repeat_words", "base_failed", "kept")
+
+
+def _rule_sql(name: str, condition: str) -> str:
+    return f"""
+  {name}_h AS (SELECT source, count(*) AS n, count(*) FILTER ({condition}) AS k FROM m GROUP BY source),
+  {name}_p AS (SELECT avg(k / n) AS mu, var_pop(k / n) AS v FROM {name}_h),
+  {name}_s AS (SELECT mu, CASE WHEN mu <= 0 OR mu >= 1 THEN 1.0 WHEN v = 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, mu * (1 - mu) / v - 1)) END AS st FROM {name}_p),
+  {name}_r AS (SELECT source, (k + mu * st) / (n + st) AS rate FROM {name}_h, {name}_s)"""
+
+
+RULE_SQL = {
+    "short": "n_words < 20",
+    "repeats": "100 * n_repeat_words > 30 * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "lines": "10 * n_dup_lines > 3 * n_lines",
+    "word_length": "word_chars < 3 * n_words OR word_chars > 10 * n_words",
+}
+ORACLE["op1_quality_rules"] = rf"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+  g AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, ws FROM w WHERE len(ws) > 7),
+  g2 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i:i + 7]) AS c FROM g),
+  g3 AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM g2 WHERE c > 1) GROUP BY doc_id),
+  l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+  m AS (SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
+      CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+      CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+      len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+      CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+    FROM w JOIN l USING (doc_id) LEFT JOIN g3 USING (doc_id)),{",".join(_rule_sql(k, v) for k, v in RULE_SQL.items())}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({RULE_SQL["short"]} OR {RULE_SQL["repeats"]}) AS base_failed,
+  NOT ({RULE_SQL["short"]} OR {RULE_SQL["repeats"]} OR greatest(a.rate, b.rate, c.rate, d.rate, e.rate) > 0.5
+    OR (({RULE_SQL["symbols"]}) AND c.rate >= 0.002) OR (({RULE_SQL["lines"]}) AND d.rate >= 0.002) OR (({RULE_SQL["word_length"]}) AND e.rate >= 0.002)) AS kept
+FROM m JOIN short_r a ON a.source IS NOT DISTINCT FROM m.source JOIN repeats_r b ON b.source IS NOT DISTINCT FROM m.source
+  JOIN symbols_r c ON c.source IS NOT DISTINCT FROM m.source JOIN lines_r d ON d.source IS NOT DISTINCT FROM m.source
+  JOIN word_length_r e ON e.source IS NOT DISTINCT FROM m.source
+"""
