@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .jaccard_join import jaccard_components
+from .mixing import mix
 from .quality_rules import judge
+from .sharding import shard
 from .suffix_dedup import remove_repeats
 from .token_counts import with_token_counts
 
@@ -103,3 +105,44 @@ FROM m JOIN short_r a ON a.source IS NOT DISTINCT FROM m.source JOIN repeats_r b
   JOIN symbols_r c ON c.source IS NOT DISTINCT FROM m.source JOIN lines_r d ON d.source IS NOT DISTINCT FROM m.source
   JOIN word_length_r e ON e.source IS NOT DISTINCT FROM m.source
 """
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+ORACLE["op9_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS key FROM documents),
+u AS (SELECT *, (CAST('0x' || substr(key, 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER o, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0))::DOUBLE AS level
+  FROM w WINDOW o AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, CASE WHEN weight * level > 3 * source_size THEN (3 * source_size)::DOUBLE
+    ELSE least(weight * (SELECT arg_min(level, source_size / weight) FROM l WHERE weight * level <= 3 * source_size), (3 * source_size)::DOUBLE) END AS target FROM l),
+p AS (SELECT *, floor(target / source_size) AS whole, target - floor(target / source_size) * source_size AS rest FROM t),
+r AS (SELECT u.*, source_size, target, whole, rest, sum(size) OVER (PARTITION BY u.source ORDER BY u, key) AS upto FROM u JOIN p ON p.source IS NOT DISTINCT FROM u.source),
+c AS (SELECT source, rest - coalesce(max(upto) FILTER (upto <= rest), 0) AS missing FROM r GROUP BY source, rest),
+x AS (SELECT source, arg_min(key, (gap, u, key)) AS added FROM (SELECT r.source, key, u, abs(missing - size) AS gap, missing FROM r JOIN c ON c.source IS NOT DISTINCT FROM r.source WHERE upto > rest AND rest > 0)
+  WHERE gap < missing GROUP BY source)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN rest > 0 AND (upto <= rest OR coalesce(key = added, false)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r LEFT JOIN x ON x.source IS NOT DISTINCT FROM r.source
+"""
+
+
+@query
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return shard(docs).select("doc_id", "n_bytes", "shard", "depth")
+
+
+ORACLE["op10_sharding"] = """
+WITH h AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
+d AS (SELECT *, sum(n_bytes) OVER (PARTITION BY depth, h >> (60 - depth)) AS held FROM h, (SELECT CAST(unnest(range(0, 25)) AS INTEGER) AS depth))
+SELECT doc_id, any_value(n_bytes) AS n_bytes, CASE WHEN min(depth) = 0 THEN '' ELSE lpad(bin(any_value(h) >> (60 - min(depth))), min(depth), '0') END AS shard, min(depth) AS depth
+FROM d WHERE held <= 33554432 GROUP BY doc_id
+"""
