@@ -145,15 +145,27 @@ def shingles_of(h: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
+def distinct(s: np.ndarray) -> np.ndarray:
+    """Sorted without repeats; sorts in place."""
+    s.sort()
+    if len(s) > 1:
+        new = np.ones(len(s), bool)
+        np.not_equal(s[1:], s[:-1], out=new[1:])
+        return s[new]
+    return s
+
+
 def shingle_sets(column: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
     """For each text its sorted distinct shingle hashes (A-Z lower-cased)."""
     data, offsets = utf8(column)
     for a, b in chunks(offsets):
         h, first = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        for i in range(b - a):
-            yield np.unique(shingles_of(h[first[i] : first[i + 1]], k))
+        every = shingles_of(h, k)
+        for begin, end in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            # a copy: the slice of a long text would keep the whole chunk alive
+            yield distinct(every[begin : end - k + 1].copy() if end - begin >= k else shingles_of(h[begin:end], k))
 
 
 def set_signature(s: np.ndarray) -> int:
     """64-bit signature of a set of hashes, as a signed number."""
-    return int((mix(s + _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64) ^ _U(len(s) * 0x2545F4914F6CDD1D % 2**64)).astype(np.int64))
+    return int(mix(np.array([s.sum(dtype=np.uint64) ^ _U(len(s) * 0x2545F4914F6CDD1D % 2**64)]))[0].astype(np.int64))
