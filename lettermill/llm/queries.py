@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contaminated
 from .jaccard_join import jaccard_components
+from .line_dedup import dedup_lines
 from .mixing import mix
 from .quality_rules import judge
+from .secret_scan import example_findings, scan, train
 from .sharding import shard
 from .suffix_dedup import remove_repeats
 from .token_counts import with_token_counts
+from .warc import derivatives, responses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -146,3 +150,27 @@ d AS (SELECT *, sum(n_bytes) OVER (PARTITION BY depth, h >> (60 - depth)) AS hel
 SELECT doc_id, any_value(n_bytes) AS n_bytes, CASE WHEN min(depth) = 0 THEN '' ELSE lpad(bin(any_value(h) >> (60 - min(depth))), min(depth), '0') END AS shard, min(depth) AS depth
 FROM d WHERE held <= 33554432 GROUP BY doc_id
 """
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "first_word", "n_words")
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return scan(docs, train(example_findings(spark))).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = derivatives(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return made.select("record_id", "warc_type", "refers_to", "target_uri", "date", "content_type", "payload_digest", "block_digest", F.col("fields")["WARC-Concurrent-To"].alias("concurrent_to"), F.decode("block", "utf-8").alias("block"))
