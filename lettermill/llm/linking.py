@@ -1,9 +1,11 @@
 """From inverted lists to components, for joins whose links must not be lost.
 
 Input are records (list, sig, n): ``sig`` names an element, ``n`` is its size, and any two elements
-that link stand in one list at least. Every list first ties its members to its first one. What is tied together, by whole chains of lists, is a cluster: no link leaves it. Clusters are searched whole,
-one after the other in a task, as long as they stay within ``CLUSTER`` elements and
-``CLUSTER_SIZE`` summed sizes.
+that link stand in one list at least. Lists of up to ``SHORT`` members name their pairs whose sizes
+fit; longer ones tie their members to the first one. A caller's ``refine`` may drop pairs, and split long lists, that
+cannot link. What is tied together, by whole chains, is a cluster: no link leaves it.
+Clusters are searched whole, one after the other in a task, as long as they stay within ``CLUSTER``
+elements and ``CLUSTER_SIZE`` summed sizes.
 
 Larger clusters keep to their lists: each list tries its members against a few pivots, four times
 as many each round, and only members of components that are still different, until every pair of a list is tested
@@ -24,7 +26,8 @@ from .packed import by_bucket
 from .stage import bucket_count, stage
 
 POSTING = {"list": "<u8", "sig": "<i8", "n": "<u4"}
-ROUND = "u long, v long, list long, n long, pair boolean"
+ROUND = "u long, v long, list long, n long, pair boolean, long boolean"
+SHORT = 12
 CLUSTER, CLUSTER_SIZE = 4096, 4_000_000
 PIVOT_GROWTH = 4
 MEMBERS = 256
@@ -36,7 +39,7 @@ Search = Callable[[pa.Array], list[int]]
 Block = Callable[[pa.Array], list[int]]
 
 
-def _state(pairs: np.ndarray, list_: np.ndarray, sig: np.ndarray, n: np.ndarray) -> pa.Table:
+def _state(pairs: np.ndarray, list_: np.ndarray, sig: np.ndarray, n: np.ndarray, long: np.ndarray | None = None) -> pa.Table:
     p, m = len(pairs), len(sig)
     return pa.table(
         {
@@ -45,6 +48,7 @@ def _state(pairs: np.ndarray, list_: np.ndarray, sig: np.ndarray, n: np.ndarray)
             "list": pa.array(np.append(np.zeros(p, np.int64), list_), pa.int64()),
             "n": pa.array(np.append(np.zeros(p, np.int64), n), pa.int64()),
             "pair": pa.array(np.arange(p + m) < p, pa.bool_()),
+            "long": pa.array(np.append(np.zeros(p, bool), np.zeros(m, bool) if long is None else long), pa.bool_()),
         }
     )
 
@@ -53,22 +57,39 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
 
 
-def _first(columns: list[np.ndarray]) -> pa.Table:
-    """Pairs of each list's first member with the others; the members of lists of more than two."""
-    list_, sig, n = columns
-    order = np.lexsort((sig, list_))
-    list_, sig, n = list_[order], sig[order], n[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = (list_[1:] != list_[:-1]) | (sig[1:] != sig[:-1])
-    list_, sig, n = list_[new], sig[new], n[new]
-    head = np.ones(len(sig), bool)
-    head[1:] = list_[1:] != list_[:-1]
-    begins = np.flatnonzero(head)
-    size = np.diff(np.append(begins, len(sig)))
-    pivot = np.repeat(begins, size)
-    other = pivot != np.arange(len(sig))
-    more = np.repeat(size > 1, size)
-    return _state(_distinct_pairs(sig[pivot[other]], sig[other]), list_[more].view(np.int64), sig[more], n[more])
+def _first(fits: Fits):
+    """Pairs of the short lists; the members of all lists of more than one."""
+
+    def work(columns: list[np.ndarray]) -> pa.Table:
+        list_, sig, n = columns
+        order = np.lexsort((sig, list_))
+        list_, sig, n = list_[order], sig[order], n[order].astype(np.int64)
+        new = np.ones(len(sig), bool)
+        new[1:] = (list_[1:] != list_[:-1]) | (sig[1:] != sig[:-1])
+        list_, sig, n = list_[new], sig[new], n[new]
+        head = np.ones(len(sig), bool)
+        head[1:] = list_[1:] != list_[:-1]
+        begins = np.flatnonzero(head)
+        size = np.diff(np.append(begins, len(sig)))
+        size_of = np.repeat(size, size)
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for apart in range(1, min(SHORT, len(sig))):
+            left = np.flatnonzero(size_of[: len(sig) - apart] <= SHORT)
+            left = left[list_[left] == list_[left + apart]]
+            left = left[fits(n[left], n[left + apart])]
+            us.append(sig[left])
+            vs.append(sig[left + apart])
+        more = size_of > 1
+        return _state(_distinct_pairs(np.concatenate(us), np.concatenate(vs)), list_[more].view(np.int64), sig[more], n[more], size_of[more] > SHORT)
+
+    return work
+
+
+def tie_all(state: DataFrame) -> DataFrame:
+    """The pairs of the short lists, and the members of the long ones tied to the first."""
+    long = state.where("long").select("list", "v")
+    first = long.groupBy("list").agg(F.min("v").alias("u"))
+    return state.where("pair").select("u", "v").union(long.join(first, "list").where("u <> v").select("u", "v"))
 
 
 def _later(fits: Fits, tried: int, pivots: int):
@@ -166,15 +187,15 @@ def _merge_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return stage(nodes.join(merged, "component", "left").select("node", F.coalesce("merged", "component").alias("component")), "components")
 
 
-def components(packed: DataFrame, with_text: Callable[[DataFrame], DataFrame], fits: Fits, search: Search, block_search: Block, cluster: int = CLUSTER, cluster_size: int = CLUSTER_SIZE) -> DataFrame:
+def components(packed: DataFrame, with_text: Callable[[DataFrame], DataFrame], fits: Fits, search: Search, block_search: Block, refine: Callable[[DataFrame], DataFrame] = tie_all, cluster: int = CLUSTER, cluster_size: int = CLUSTER_SIZE) -> DataFrame:
     """(node, component) of every element that shares a list with another one.
 
     ``packed`` holds POSTING records; ``with_text`` adds a column text to a table that has a column sig;
-    ``fits`` says from two sizes whether elements can link at all.
+    ``fits`` says from two sizes whether elements can link at all; ``refine`` makes ties (u, v) of the lists.
     """
     spark = packed.sparkSession
-    state = stage(by_bucket(packed, POSTING, _first, ROUND), "lists")
-    tied = connected_components(state.where("pair").select("u", "v"))
+    state = stage(by_bucket(packed, POSTING, _first(fits), ROUND), "lists")
+    tied = connected_components(refine(state))
     sizes = state.where("not pair").groupBy(F.col("v").alias("node")).agg(F.max("n").alias("n"))
     member = tied.join(sizes, "node").select(F.col("node").alias("sig"), F.col("component").alias("cluster"), "n")
     member = stage(member, "members")
