@@ -39,11 +39,11 @@ Search = Callable[[pa.Array], list[int]]
 Block = Callable[[pa.Array], list[int]]
 
 
-def _state(pairs: np.ndarray, list_: np.ndarray, sig: np.ndarray, n: np.ndarray, long: np.ndarray | None = None) -> pa.Table:
+def _state(pairs: np.ndarray, list_: np.ndarray, sig: np.ndarray, n: np.ndarray, long: np.ndarray | None = None, pivot: np.ndarray | None = None) -> pa.Table:
     p, m = len(pairs), len(sig)
     return pa.table(
         {
-            "u": pa.array(np.append(pairs[:, 0], np.zeros(m, np.int64)), pa.int64()),
+            "u": pa.array(np.append(pairs[:, 0], np.zeros(m, np.int64) if pivot is None else pivot), pa.int64()),
             "v": pa.array(np.append(pairs[:, 1], sig), pa.int64()),
             "list": pa.array(np.append(np.zeros(p, np.int64), list_), pa.int64()),
             "n": pa.array(np.append(np.zeros(p, np.int64), n), pa.int64()),
@@ -58,7 +58,7 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _first(fits: Fits):
-    """Pairs of the short lists; the members of all lists of more than one."""
+    """Pairs of the short lists; the members v of all lists of more than one, u being the list's first one."""
 
     def work(columns: list[np.ndarray]) -> pa.Table:
         list_, sig, n = columns
@@ -80,16 +80,14 @@ def _first(fits: Fits):
             us.append(sig[left])
             vs.append(sig[left + apart])
         more = size_of > 1
-        return _state(_distinct_pairs(np.concatenate(us), np.concatenate(vs)), list_[more].view(np.int64), sig[more], n[more], size_of[more] > SHORT)
+        return _state(_distinct_pairs(np.concatenate(us), np.concatenate(vs)), list_[more].view(np.int64), sig[more], n[more], size_of[more] > SHORT, np.repeat(sig[begins], size)[more])
 
     return work
 
 
 def tie_all(state: DataFrame) -> DataFrame:
     """The pairs of the short lists, and the members of the long ones tied to the first."""
-    long = state.where("long").select("list", "v")
-    first = long.groupBy("list").agg(F.min("v").alias("u"))
-    return state.where("pair").select("u", "v").union(long.join(first, "list").where("u <> v").select("u", "v"))
+    return state.where("pair or (long and u <> v)").select("u", "v")
 
 
 def _later(fits: Fits, tried: int, pivots: int):
