@@ -222,9 +222,9 @@ def thread_visible_subset(spark, sf_dir):
 # ---- functions -------------------------------------------------------------------------------
 
 
-def _scalar(name: str, view: str, column: Column, sql: str):
+def _scalar(name: str, view: str, column: Callable[[], Column], sql: str):
     def run(spark, sf_dir):
-        return getattr(views, view)(spark, sf_dir).select("offset", column.alias("value"))
+        return getattr(views, view)(spark, sf_dir).select("offset", column().alias("value"))
 
     run.__name__ = name
     table = {"documents": ("doc", D), "conversations": ("conv", C), "events": ("ev", E)}[view]
@@ -233,23 +233,23 @@ def _scalar(name: str, view: str, column: Column, sql: str):
 
 _SAFE = lambda c, n: f"CASE WHEN trim(replace(substr(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}\\-._@]', '_', 'g'), 1, {n}), '..', '_'), '.') = '' THEN 'unknown' ELSE trim(replace(substr(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}\\-._@]', '_', 'g'), 1, {n}), '..', '_'), '.') END"
 _CSV = lambda c: f"(CASE WHEN regexp_matches(g({c}), '[\",\\n\\r]') THEN '\"' || replace(g({c}), '\"', '\"\"') || '\"' ELSE g({c}) END)".replace(f"g({c})", f"(CASE WHEN regexp_matches({c}, '^[=+\\-@\\t\\r]') THEN '''' || {c} ELSE {c} END)")
-_scalar("normalize_subject", "conversations", T.normalize_subject(F.col("subject")), "lower(regexp_replace(trim(subject), '^((re:|fwd:|fw:)\\s*)+', '', 'i'))")
-_scalar("normalize_message_id", "documents", T.normalize_id(F.concat(F.lit(" <"), F.col("message_id"), F.lit("> "))), "md5(text)")
-_scalar("address_display", "documents", T.address_display(F.col("from")), "source || ' <' || source || '@docs.example>'")
-_scalar("filename_eml", "documents", export.eml_name(), f"strftime(date, '%Y%m%d_%H%M%S') || '_' || {_SAFE('from_address', 30)} || '_' || {_SAFE('subject', 80)} || '.eml'")
-_scalar("filename_txt", "documents", export.text_name(), f"strftime(date, '%Y%m%d_%H%M%S') || '_' || {_SAFE('subject', 80)} || '.txt'")
-_scalar("csv_rows", "documents", export.csv_line(), f"""strftime(date, '%Y-%m-%d %H:%M:%S') || ',' || source || ' <' || source || '@docs.example>,' || lang || ' <' || lang || '@lists.example>,' || coalesce(cc_name || ' <' || cc_address || '>', '') || ',' || {_CSV('subject')} || ',' || length || ',' || has_attachments || ',' || lang || '; ' || source || ',' || message_id""")
-_scalar("html_escape", "documents", T.escape_html(F.col("body.text")), "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')")
-_scalar("mbox_from_line", "documents", T.from_line(F.col("from.address"), F.col("date")), "'From ' || from_address || ' ' || strftime(date, '%a %b ') || lpad(CAST(day(date) AS VARCHAR), 2, ' ') || strftime(date, ' %H:%M:%S %Y')")
-_scalar("from_quoting", "documents", F.md5(T.quote_from(F.concat(F.lit("From x\n"), F.col("body.text")))), "md5(regexp_replace('From x' || chr(10) || text, '(?m)^From ', '>From ', 'g'))")
-_scalar("from_unquoting", "documents", F.md5(T.unquote_from(F.concat(F.lit(">>From x\n>From y\n"), F.col("body.text")))), "md5(regexp_replace('>>From x' || chr(10) || '>From y' || chr(10) || text, '(?m)^>(>*From )', '\\1', 'g'))")
-_scalar("header_value_sanitize", "documents", T.header_value(F.col("body.text")), "trim(regexp_replace(text, '[\\x00-\\x1F\\x7F]', '', 'g'))")
-_scalar("human_size", "documents", T.human_size(F.col("length")), "CASE WHEN length < 1024 THEN length || ' B' ELSE regexp_replace(printf('%.2f', length / 1024.0::DOUBLE), '\\.?0+$', '') || ' KiB' END")
-_scalar("group_labels", "documents", T.group_label(F.when(F.col("offset") % 2 == 0, F.lit(" ")).otherwise(F.lit(" g ")), F.concat(F.col("from.display_name"), F.lit("@GoogleGroups.com"))), "CASE WHEN \"offset\" % 2 = 0 THEN source ELSE 'g' END")
-_scalar("body_match_count", "documents", F.size(T.body_matches(F.col("body.text"), "The")), "CAST(len(string_split(lower(text), 'the')) - 1 AS INTEGER)")
-_scalar("rfc2047_decode", "documents", T.rfc2047_decode(F.concat(F.lit("=?utf-8?B?"), base64("subject"), F.lit("?= =?UTF-8?Q?_=C3=BC?="))), "subject || ' ü'")
-_scalar("parse_mail_date", "documents", T.mail_date(F.concat(F.date_format("date", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0100"))).cast("timestamp_ntz"), "CAST(date - INTERVAL 1 HOUR AS TIMESTAMP)")
-_scalar("parse_address_list", "documents", F.array_join(F.transform(T.address_list(F.concat(F.lit('"Last, '), F.col("from.display_name"), F.lit('" <'), F.col("from.address"), F.lit(">, , b@x.example"))), T.address_display), "|"), "'Last, ' || source || ' <' || from_address || '>|b@x.example'")
+_scalar("normalize_subject", "conversations", lambda: T.normalize_subject(F.col("subject")), "lower(regexp_replace(trim(subject), '^((re:|fwd:|fw:)\\s*)+', '', 'i'))")
+_scalar("normalize_message_id", "documents", lambda: T.normalize_id(F.concat(F.lit(" <"), F.col("message_id"), F.lit("> "))), "md5(text)")
+_scalar("address_display", "documents", lambda: T.address_display(F.col("from")), "source || ' <' || source || '@docs.example>'")
+_scalar("filename_eml", "documents", lambda: export.eml_name(), f"strftime(date, '%Y%m%d_%H%M%S') || '_' || {_SAFE('from_address', 30)} || '_' || {_SAFE('subject', 80)} || '.eml'")
+_scalar("filename_txt", "documents", lambda: export.text_name(), f"strftime(date, '%Y%m%d_%H%M%S') || '_' || {_SAFE('subject', 80)} || '.txt'")
+_scalar("csv_rows", "documents", lambda: export.csv_line(), f"""strftime(date, '%Y-%m-%d %H:%M:%S') || ',' || source || ' <' || source || '@docs.example>,' || lang || ' <' || lang || '@lists.example>,' || coalesce(cc_name || ' <' || cc_address || '>', '') || ',' || {_CSV('subject')} || ',' || length || ',' || has_attachments || ',' || lang || '; ' || source || ',' || message_id""")
+_scalar("html_escape", "documents", lambda: T.escape_html(F.col("body.text")), "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')")
+_scalar("mbox_from_line", "documents", lambda: T.from_line(F.col("from.address"), F.col("date")), "'From ' || from_address || ' ' || strftime(date, '%a %b ') || lpad(CAST(day(date) AS VARCHAR), 2, ' ') || strftime(date, ' %H:%M:%S %Y')")
+_scalar("from_quoting", "documents", lambda: F.md5(T.quote_from(F.concat(F.lit("From x\n"), F.col("body.text")))), "md5(regexp_replace('From x' || chr(10) || text, '(?m)^From ', '>From ', 'g'))")
+_scalar("from_unquoting", "documents", lambda: F.md5(T.unquote_from(F.concat(F.lit(">>From x\n>From y\n"), F.col("body.text")))), "md5(regexp_replace('>>From x' || chr(10) || '>From y' || chr(10) || text, '(?m)^>(>*From )', '\\1', 'g'))")
+_scalar("header_value_sanitize", "documents", lambda: T.header_value(F.col("body.text")), "trim(regexp_replace(text, '[\\x00-\\x1F\\x7F]', '', 'g'))")
+_scalar("human_size", "documents", lambda: T.human_size(F.col("length")), "CASE WHEN length < 1024 THEN length || ' B' ELSE regexp_replace(printf('%.2f', length / 1024.0::DOUBLE), '\\.?0+$', '') || ' KiB' END")
+_scalar("group_labels", "documents", lambda: T.group_label(F.when(F.col("offset") % 2 == 0, F.lit(" ")).otherwise(F.lit(" g ")), F.concat(F.col("from.display_name"), F.lit("@GoogleGroups.com"))), "CASE WHEN \"offset\" % 2 = 0 THEN source ELSE 'g' END")
+_scalar("body_match_count", "documents", lambda: F.size(T.body_matches(F.col("body.text"), "The")), "CAST(len(string_split(lower(text), 'the')) - 1 AS INTEGER)")
+_scalar("rfc2047_decode", "documents", lambda: T.rfc2047_decode(F.concat(F.lit("=?utf-8?B?"), base64("subject"), F.lit("?= =?UTF-8?Q?_=C3=BC?="))), "subject || ' ü'")
+_scalar("parse_mail_date", "documents", lambda: T.mail_date(F.concat(F.date_format("date", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0100"))).cast("timestamp_ntz"), "CAST(date - INTERVAL 1 HOUR AS TIMESTAMP)")
+_scalar("parse_address_list", "documents", lambda: F.array_join(F.transform(T.address_list(F.concat(F.lit('"Last, '), F.col("from.display_name"), F.lit('" <'), F.col("from.address"), F.lit(">, , b@x.example"))), T.address_display), "|"), "'Last, ' || source || ' <' || from_address || '>|b@x.example'")
 
 
 @query(r"""SELECT page_id, unnest(regexp_extract_all(html, '(https?://[^\s>)"]*)', 1)) AS url FROM pages""")
