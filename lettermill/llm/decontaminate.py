@@ -6,7 +6,8 @@ window within ``RADIUS`` bits of an item: some block then differs in at most RAD
 Exact similarity decides: the weight of the item's shingles that the window has, as a multiset, by the weight
 of all its shingles. Weights are inverse document frequencies among the items.
 
-Only windows with a shingle of some item are fingerprinted; without one the similarity is 0.
+Only windows that can reach the threshold are fingerprinted: those that hold a shingle of an item of which the
+whole document holds enough. Both are upper bounds, so nothing is lost.
 Items are sent to the executors in blocks of ``MOST_ITEMS`` items and ``MOST_BYTES`` bytes at most,
 one pass over the documents for each block.
 """
@@ -20,16 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import chunks, mix, shingles_of, utf8, words
+from .text import _PLACE, chunks, mix, shingles_of, utf8, words
 
 BLOCKS, RADIUS = 8, 31
 MOST_ITEMS, MOST_BYTES = 20_000, 16 << 20
 _FLIPS = np.array([bin(i).count("1") for i in range(256)])
 
 
-def _short_windows(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the windows of n words as ``shingles_of`` hashes a sequence of n words, n below the shingle size."""
-    return np.array([shingles_of(h[i : i + n], n + 1)[0] for i in range(len(h) - n + 1)], np.uint64)
+def sequence_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all sequences of n words, as ``shingles_of`` hashes a text of n words below the shingle size."""
+    count = max(0, len(h) - n + 1)
+    total = np.full(count, np.uint64(n))
+    for j in range(n):
+        total += h[j : j + count] * _PLACE[32 + j]
+    return mix(total)
 
 
 def signs(shingles: np.ndarray) -> np.ndarray:
@@ -65,6 +70,12 @@ class Items:
             g, c = np.unique(s, return_counts=True)
             at = np.searchsorted(every, g)
             self.counts.append((at, c, float((self.idf[at] * c).sum())))
+        # for each known shingle the items that have it, with the weight it has there
+        pairs = sorted((p, i, w) for i, (at, c, _) in enumerate(self.counts) for p, w in zip(at.tolist(), (self.idf[at] * c).tolist(), strict=True))
+        self.begin = np.searchsorted([p for p, _, _ in pairs], np.arange(len(every) + 1))
+        self.item = np.array([i for _, i, _ in pairs], np.int64)
+        self.weight = np.array([w for _, _, w in pairs], np.float64)
+        self.total = np.array([t for _, _, t in self.counts], np.float64)
         self.sizes: dict[int, list[int]] = {}
         for i, n in enumerate(self.n_words):
             if n:
@@ -75,6 +86,8 @@ class Items:
 
     def place(self, s: np.ndarray) -> np.ndarray:
         """Places of shingles among the items' shingles, -1 for others."""
+        if not len(self.known):
+            return np.full(len(s), -1)
         at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
         return np.where(self.known[at] == s, at, -1)
 
@@ -88,23 +101,32 @@ class Items:
         found = np.bincount(np.searchsorted(at, p) if len(p := places[np.isin(places, at)]) else np.zeros(0, np.int64), minlength=len(at))
         return float((self.idf[at] * np.minimum(found, c)).sum()) / total if total else 0.0
 
-    def matches(self, h: np.ndarray, threshold: float) -> Iterator[tuple[int, float, int]]:
-        """(item, similarity, first word) of the best window of each item that reaches the threshold, from a document's word hashes."""
-        long = None
-        for n, which in self.sizes.items():
+    def candidates(self, owner: np.ndarray, places: np.ndarray, threshold: float) -> dict[int, list[int]]:
+        """For documents (owner) with known shingles the items of which they hold enough, in whatever order."""
+        pairs = np.unique(owner.astype(np.int64) * len(self.known) + places)
+        owner, places = pairs // len(self.known), pairs % len(self.known)
+        size = self.begin[places + 1] - self.begin[places]
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.begin[places], size)
+        both, which = np.unique(np.repeat(owner, size) * len(self.ids) + self.item[at], return_inverse=True)
+        held = np.bincount(which, self.weight[at], len(both))
+        enough = held >= threshold * self.total[both % len(self.ids)] * (1 - 1e-9)
+        out: dict[int, list[int]] = {}
+        for x in both[enough].tolist():
+            out.setdefault(x // len(self.ids), []).append(x % len(self.ids))
+        return out
+
+    def matches(self, h: np.ndarray, wanted: list[int], threshold: float) -> Iterator[tuple[int, float, int]]:
+        """(item, similarity, first word) of the best window of each wanted item that reaches the threshold, from a document's word hashes."""
+        for n in sorted({self.n_words[i] for i in wanted}):
+            columns = [j for j, i in enumerate(self.sizes[n]) if i in wanted]
+            which = [self.sizes[n][j] for j in columns]
             if len(h) < n:
                 continue
-            if n < self.k:
-                s, span = _short_windows(h, n), 1
-                places = self.place(s)
-            else:
-                if long is None:
-                    s5 = shingles_of(h, self.k)
-                    long = s5, self.place(s5)
-                (s, places), span = long, n - self.k + 1
-            hits = np.flatnonzero(places >= 0)
-            if not len(hits):
-                continue
+            span = max(1, n - self.k + 1)
+            s = sequence_hashes(h, n) if n < self.k else shingles_of(h, self.k)
+            places = self.place(s)
+            mine = np.unique(np.concatenate([self.counts[i][0] for i in which]))
+            hits = np.flatnonzero(np.isin(places, mine))
             last = len(s) - span
             edge = np.zeros(last + 2, np.int64)
             np.add.at(edge, np.maximum(hits - span + 1, 0), 1)
@@ -123,12 +145,12 @@ class Items:
                     sums = np.zeros((hi - lo + 1, 64), np.float64)
                     np.cumsum(signs(s[lo:hi]) * self.weights(s[lo:hi])[:, None], axis=0, out=sums[1:])
                     prints = fingerprints(np.round(sums[g - lo + span] - sums[g - lo], 6))
-                    index = self.index[n]
+                    index = self.index[n][:, :, columns]
                     near = np.zeros((len(g), len(which)), bool)
                     for block in range(BLOCKS):
                         near |= index[block][prints[:, block]]
                     for w, j in np.argwhere(near):
-                        if _FLIPS[prints[w] ^ self.prints[n][j]].sum() <= RADIUS:
+                        if _FLIPS[prints[w] ^ self.prints[n][columns[j]]].sum() <= RADIUS:
                             similarity, start = self.similarity(which[j], places[g[w] : g[w] + span]), int(g[w])
                             if similarity >= threshold and (-similarity, start) < best.get(which[j], (0.0, 0)):
                                 best[which[j]] = (-similarity, start)
@@ -143,18 +165,23 @@ def _scan(sent, threshold: float, id_type: pa.DataType):
         items = Items(*sent.value)
         known = np.zeros(1 << 20, bool)  # a cheap look before the exact one
         known[(items.known >> np.uint64(44)).astype(np.int64)] = True
-        short = [n for n in items.sizes if n < items.k]
+        lengths = [n for n in items.sizes if n < items.k] + [items.k]
         for batch in batches:
             rows: list[tuple] = []
             data, offsets = utf8(batch.column("text"))
             for a, b in chunks(offsets):
                 h, first = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                hit = known[(shingles_of(h, items.k) >> np.uint64(44)).astype(np.int64)]
-                seen = np.append(0, np.cumsum(hit))
-                for i in range(b - a):
-                    x, y = int(first[i]), int(first[i + 1])
-                    if short or y - x < items.k or seen[max(x, min(y - items.k + 1, len(hit)))] > seen[min(x, len(hit))]:
-                        rows += [(a + i, items.ids[m], s, w, items.n_words[m]) for m, s, w in items.matches(h[x:y], threshold)]
+                owner = np.repeat(np.arange(b - a), np.diff(first))
+                owners, found = [], []
+                for n in lengths:
+                    s = sequence_hashes(h, n) if n < items.k else shingles_of(h, n) if len(h) >= n else np.zeros(0, np.uint64)
+                    at = np.flatnonzero(known[(s >> np.uint64(44)).astype(np.int64)])
+                    at = at[owner[at] == owner[at + n - 1]]  # within one document
+                    places = items.place(s[at])
+                    owners.append(owner[at][places >= 0])
+                    found.append(places[places >= 0])
+                for i, wanted in items.candidates(np.concatenate(owners), np.concatenate(found), threshold).items():
+                    rows += [(a + i, items.ids[m], s, w, items.n_words[m]) for m, s, w in items.matches(h[first[i] : first[i + 1]], wanted, threshold)]
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("id").take(at), pa.array([r[1] for r in rows], id_type), *(pa.array([r[j] for r in rows], t) for j, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64())))], names)
 
