@@ -63,13 +63,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = docs.withColumns({"size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"), "__key": random_key(id_col, text_col, seed)})
     small = stage(sized.select(F.col(source_col).alias("source"), "size", F.col("__key").alias("key"), uniform(F.col("__key")).alias("u")), "sizes")
     sources = stage(targets(small.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    passes = F.when(F.col("source_size") > 0, F.floor(F.try_divide("target", "source_size"))).otherwise(0)
     plan = sources.withColumn("whole", passes.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).select(F.struct("*").alias("plan"))
     same = small["source"].eqNullSafe(F.col("plan.source"))
-    p = F.col("rest") / F.col("plan_size")
+    p = F.try_divide("rest", "plan_size")
     drawn = small.join(plan, same).select(small["source"], "size", "key", "u", F.col("plan.rest").alias("rest"), F.col("plan.source_size").alias("plan_size")).where("rest > 0")
     # rest is below the source's size, so 0 < p < 1
-    drawn = drawn.withColumn("rank", (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))).withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
+    drawn = drawn.withColumn("rank", F.try_divide(F.col("u") / (1 - F.col("u")), F.try_divide(p, 1 - p))).withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
     cells = drawn.groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     upto = Window.partitionBy("source").orderBy("cell")
     running = cells.withColumn("upto", F.sum("words").over(upto))
@@ -94,8 +94,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     decided = stage(decided.select(F.struct(F.col("plan.source").alias("source"), F.col("plan.source_size").alias("source_size"), F.col("plan.target").alias("target"), F.col("plan.whole").alias("whole"), F.col("plan.rest").alias("rest"), F.col("cut.cut").alias("cut"), F.col("cut.place").alias("place"), F.col("extra.added").alias("added")).alias("__mix")), "mix")
     m = {c: F.col(f"__mix.{c}") for c in ("source_size", "target", "whole", "rest", "cut", "place", "added")}
     u = uniform(F.col("__key"))
-    q = m["rest"] / m["source_size"]
-    place, cell = F.struct(((u / (1 - u)) / (q / (1 - q))).alias("rank"), F.col("__key").alias("key")), F.floor(u * CELLS).cast("int")
+    q = F.try_divide(m["rest"], m["source_size"])
+    place, cell = F.struct(F.try_divide(u / (1 - u), F.try_divide(q, 1 - q)).alias("rank"), F.col("__key").alias("key")), F.floor(u * CELLS).cast("int")
     # a source whose documents all fit has no cut
     drawn_too = (m["rest"] > 0) & (m["cut"].isNull() | (cell < m["cut"]) | ((cell == m["cut"]) & F.coalesce(place <= m["place"], F.lit(False))) | F.coalesce(F.col("__key") == m["added"], F.lit(False)))
     out = sized.join(decided, sized[source_col].eqNullSafe(F.col("__mix.source")), "left")

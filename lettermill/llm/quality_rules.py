@@ -92,11 +92,11 @@ def failures(measures: str) -> dict[str, Column]:
 
 
 def beta_prior(mean: float | None, variance: float | None) -> tuple[float, float]:
-    """Beta parameters with that mean and variance; their sum is kept between 1 and 1000."""
+    """Beta parameters with that mean and variance; their sum, the documents that the prior counts for, is kept between 10 and 1000."""
     if mean is None or mean <= 0.0 or mean >= 1.0:
         return (0.0, 1.0) if not mean else (1.0, 0.0)
     strength = mean * (1 - mean) / variance - 1 if variance else 1000.0
-    strength = min(max(strength, 1.0), 1000.0)
+    strength = min(max(strength, 10.0), 1000.0)
     return mean * strength, (1 - mean) * strength
 
 

@@ -79,7 +79,7 @@ def _rule_sql(name: str, condition: str) -> str:
     return f"""
   {name}_h AS (SELECT source, count(*) AS n, count(*) FILTER ({condition}) AS k FROM m GROUP BY source),
   {name}_p AS (SELECT avg(k / n) AS mu, var_pop(k / n) AS v FROM {name}_h),
-  {name}_s AS (SELECT mu, CASE WHEN mu <= 0 OR mu >= 1 THEN 1.0 WHEN v = 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, mu * (1 - mu) / v - 1)) END AS st FROM {name}_p),
+  {name}_s AS (SELECT mu, CASE WHEN mu <= 0 OR mu >= 1 THEN 1.0 WHEN v = 0 THEN 1000.0 ELSE least(1000.0, greatest(10.0, mu * (1 - mu) / v - 1)) END AS st FROM {name}_p),
   {name}_r AS (SELECT source, (k + mu * st) / (n + st) AS rate FROM {name}_h, {name}_s)"""
 
 
