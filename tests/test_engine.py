@@ -194,3 +194,16 @@ def test_config(tmp_path):
     assert load_config(path) == Config(top_senders=3, cache_dir='a"b')
     open(path, "w").write("top_senders = [")
     assert load_config(path) == Config() == load_config(str(tmp_path / "none"))
+
+
+def test_commands(spark, mbox, tmp_path, capsys):
+    from lettermill.__main__ import parser, run
+
+    say = lambda *argv: (run(spark, parser().parse_args(list(argv))), capsys.readouterr().out)[1]
+    assert json.loads(say("index", mbox))["messages"] == 5
+    assert json.loads(say("stats", mbox, "--json"))["message_count"] == 5 and "5 messages" in say("stats", mbox)
+    assert json.loads(say("search", mbox, "perspective", "--json"))["result_count"] == 1
+    assert "Hello World" in say("search", mbox, "from:user1") and "hello world" in say("threads", mbox)
+    assert say("export", mbox, "-F", "mbox", "-o", str(tmp_path / "o.mbox"), "-q", "label:work").startswith("2 ")
+    assert say("attachments", mbox, "-o", str(tmp_path / "a")).startswith("1 ")
+    assert json.loads(say("merge", mbox, mbox, "-o", str(tmp_path / "m.mbox"), "--dedup"))["duplicates_removed"] == 5
