@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stage import bound_batches
 from .text import _PLACE, chunks, mix, shingles_of, utf8, words
 
 BLOCKS, RADIUS = 8, 31
@@ -209,6 +210,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     either side gives none.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     item_type = dict(benchmark.dtypes)[item_col]
     arrow = pa.int64() if item_type == "bigint" else pa.string()
     base = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .linking import POSTING, Union, components
 from .packed import Packer, packed_schema
-from .stage import bucket_count, stage
+from .stage import bound_batches, bucket_count, stage
 from .text import CHUNK, mix, powers
 
 LEAST_CHARS = 20
@@ -189,6 +189,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Extra columns are ignored; an empty table gives none.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     buckets = bucket_count(spark)
     id_type = pa.int64() if dict(docs.dtypes)[id_col] == "bigint" else pa.string()
     kind = "long" if id_type == pa.int64() else "string"

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 class Packer:
     """Collects records and yields record batches of (bucket, one binary column for each field)."""
 
-    def __init__(self, buckets: int, fields: dict[str, str], flush_bytes: int = 48 << 20):
+    def __init__(self, buckets: int, fields: dict[str, str], flush_bytes: int = 16 << 20):
         self.buckets, self.fields, self.flush_bytes = buckets, fields, flush_bytes
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0

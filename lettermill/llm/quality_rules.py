@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stage import stage
+from .stage import bound_batches, stage
 from .text import SPACE, chunks, mix, shingles_of, utf8, words
 
 #: Fixed value: the characters that count as symbols.
@@ -123,6 +123,7 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", hos
     its own. Repeated rows are judged alike, all other columns stay, whatever their names are, unless one is called
     measures, base_failed, host_failed or kept, which are replaced. An empty table gives none.
     """
+    bound_batches(docs.sparkSession)
     names = docs.columns
     measure = F.arrow_udf(_measure, "struct<" + ",".join(f"{m}:bigint" for m in MEASURES) + ">", F.ArrowUDFType.SCALAR_ITER)
     measured = docs.withColumn("measures", measure(F.col(text_col)))

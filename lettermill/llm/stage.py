@@ -26,6 +26,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows and bytes of a batch that goes to Python: texts are long, and a worker holds a batch several times over.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits for batches to those of ``BATCH``; lower ones stay."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key, None)
+        if now is None or not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def bucket_count(spark: SparkSession, per_partition: int = 4) -> int:
     """Buckets for packed arrays: a fixed number for each shuffle partition, so that one bucket
     stays a fraction of what the session lets a task hold."""

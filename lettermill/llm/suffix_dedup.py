@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packed import Packer, by_bucket, packed_schema
-from .stage import bucket_count, stage
+from .stage import bound_batches, bucket_count, stage
 from .text import CHUNK, Rolling, chunks, mix, utf8
 
 GRAM = 64
@@ -298,6 +298,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows are told apart by a 64-bit hash of id and text.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     buckets = bucket_count(spark)
     base = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     keyed = base.select("key", "text")

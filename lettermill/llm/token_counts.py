@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stage import bound_batches
+
 #: Fixed value: the pattern that byte-level BPE splits text with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG = 2048
@@ -167,6 +169,7 @@ def with_token_counts(docs: DataFrame, tokenizer: str, text_col: str = "text", i
     and its merges (``MOST_VOCABULARY`` at most) are sent to the executors. No begin, end or other special
     token is added; an added token's string inside a text counts as that one token. All other columns stay.
     """
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(MergeTable.read(tokenizer))
     count = F.arrow_udf(_counts(sent), "long", F.ArrowUDFType.SCALAR_ITER)
     return docs.withColumn(into, count(F.col(text_col)))
