@@ -315,6 +315,22 @@ def eml_roundtrip(spark, sf_dir):
     return read_eml(spark, where).select(F.col("from.address").alias("sender"), "message_id", plain_date())
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """A new folder that the executors share: below ``spark.checkpoint.dir`` if that is a path of files."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or ""
+    root = root.removeprefix("file://") if root.startswith(("/", "file:///")) else None
+    if root:
+        os.makedirs(root, exist_ok=True)
+    return tempfile.mkdtemp(prefix="lettermill-", dir=root or None)
+
+
+@query(f"""WITH {D} SELECT from_address AS sender, message_id, date FROM doc""")
+def eml_roundtrip_all(spark, sf_dir):
+    where = _shared_folder(spark)
+    export.write_files(export.eml_files(_raw_mails(spark, sf_dir)), where)
+    return read_eml(spark, where).select(F.col("from.address").alias("sender"), "message_id", plain_date())
+
+
 @query(f"""WITH {D} SELECT row_number() OVER (ORDER BY "offset") - 1 AS sequence, filename, CAST(strlen(subject) AS BIGINT) AS size FROM doc QUALIFY has_attachments""")
 def attachments_list(spark, sf_dir):
     m = read_mbox(spark, _written_mbox(spark, sf_dir), range_bytes=1 << 20)
