@@ -1,6 +1,6 @@
 """Benchmark decontamination by SimHash windows.
 
-Windows of an item's own number of words slide over the documents; each window and each item has a
+Windows of an item's own number of words slide over the documents, a shorter document being one window; each window and each item has a
 64-bit SimHash of its weighted word shingles. A multi-index over ``BLOCKS`` blocks of the bits finds every
 window within ``RADIUS`` bits of an item: some block then differs in at most RADIUS // BLOCKS bits.
 Exact similarity decides: the weight of the item's shingles that the window has, as a multiset, by the weight
@@ -121,10 +121,9 @@ class Items:
         for n in sorted({self.n_words[i] for i in wanted}):
             columns = [j for j, i in enumerate(self.sizes[n]) if i in wanted]
             which = [self.sizes[n][j] for j in columns]
-            if len(h) < n:
-                continue
-            span = max(1, n - self.k + 1)
-            s = sequence_hashes(h, n) if n < self.k else shingles_of(h, self.k)
+            size = min(n, len(h))  # a document shorter than the item is one window
+            span = max(1, size - self.k + 1)
+            s = sequence_hashes(h, size) if n < self.k else shingles_of(h, self.k)
             places = self.place(s)
             mine = np.unique(np.concatenate([self.counts[i][0] for i in which]))
             hits = np.flatnonzero(np.isin(places, mine))
@@ -182,7 +181,8 @@ def _scan(sent, threshold: float, id_type: pa.DataType):
                     owners.append(owner[at][places >= 0])
                     found.append(places[places >= 0])
                 for i, wanted in items.candidates(np.concatenate(owners), np.concatenate(found), threshold).items():
-                    rows += [(a + i, items.ids[m], s, w, items.n_words[m]) for m, s, w in items.matches(h[first[i] : first[i + 1]], wanted, threshold)]
+                    n_words = int(first[i + 1] - first[i])
+                    rows += [(a + i, items.ids[m], s, w, min(items.n_words[m], n_words)) for m, s, w in items.matches(h[first[i] : first[i + 1]], wanted, threshold)]
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("id").take(at), pa.array([r[1] for r in rows], id_type), *(pa.array([r[j] for r in rows], t) for j, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64())))], names)
 
@@ -202,10 +202,10 @@ def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[t
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = 5, threshold: float = 0.75) -> DataFrame:
     """(key, doc_id, item_id, similarity, first_word, n_words): for each document and item the best window (the first of equals)
-    of the item's number of words that covers ``threshold`` of the item's shingle weight.
+    of the item's number of words that covers ``threshold`` of the item's shingle weight, and the window's words.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the A-Z-lower-cased whole text; an item of fewer than ``k`` words is one
-    shingle. Documents shorter than an item cannot hold it. Null or empty texts match nothing. key is xxhash64(id, text), by
+    shingle. A document shorter than an item is itself the window. Null or empty texts match nothing. key is xxhash64(id, text), by
     which repeated rows, which each get their matches, and rows without an id can be told. An empty table on
     either side gives none.
     """

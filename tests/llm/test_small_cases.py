@@ -234,6 +234,18 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
     assert sorted(map(tuple, decontaminate.contaminated(docs, items).select("key", "item_id", "first_word").collect())) == whole
 
 
+def test_decontamination_of_short_documents(spark):
+    item = PROSE[0].split()[:40]
+    texts = {1: item[:20] + item[21:], 2: item[:34], 3: item[4:], 4: item[:20], 5: item}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(PROSE[1].split()[:40]))], "item_id long, text string")
+    whole = shingles(" ".join(item))
+    brute = {i: len(whole & shingles(" ".join(t))) / len(whole) for i, t in texts.items()}
+    found = {r.doc_id: r for r in decontaminate.contaminated(docs, items).collect()}
+    assert set(found) == {i for i, s in brute.items() if s >= 0.75} == {1, 2, 3, 5}
+    assert all(r.item_id == 1 and r.first_word == 0 and r.n_words == len(texts[i]) and r.similarity == pytest.approx(brute[i]) for i, r in found.items())
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).select("doc_id", "source", "text", "size", "source_size", "target", "copies").collect()
     assert len(rows) == len(ROWS) and all(r["size"] == len(words(r.text)) and 0 <= r.copies <= 3 for r in rows)
