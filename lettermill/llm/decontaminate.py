@@ -4,7 +4,7 @@ Windows of an item's own number of words slide over the documents, a shorter doc
 64-bit SimHash of its weighted word shingles. A multi-index over ``BLOCKS`` blocks of the bits finds every
 window within ``RADIUS`` bits of an item: some block then differs in at most RADIUS // BLOCKS bits.
 Exact similarity decides: the weight of the item's shingles that the window has, as a multiset, by the weight
-of all its shingles. Weights are inverse document frequencies among the items.
+of all its shingles. Weights are inverse document frequencies among all items, whatever their block.
 
 Only windows that can reach the threshold are fingerprinted: those that hold a shingle of an item of which the
 whole document holds enough. Both are upper bounds, so nothing is lost.
@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import bound_batches
-from .text import _PLACE, chunks, mix, shingles_of, utf8, words
+from .stage import bound_batches, stage
+from .text import _PLACE, chunks, mix, shingle_sets, shingles_of, utf8, words
 
 BLOCKS, RADIUS = 8, 31
 MOST_ITEMS, MOST_BYTES = 20_000, 16 << 20
@@ -50,9 +50,13 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """The items of one block, by their number of words."""
+    """The items of one block, by their number of words.
 
-    def __init__(self, ids: list, texts: list[str], k: int):
+    ``n_items`` is the number of items in all blocks, ``common`` and ``common_df`` are the block's shingles that more than
+    one of them have, with how many do; without these the block is the whole benchmark.
+    """
+
+    def __init__(self, ids: list, texts: list[str], k: int, n_items: int | None = None, common: np.ndarray | None = None, common_df: np.ndarray | None = None):
         self.ids, self.k = ids, k
         column = pa.array(texts, pa.large_string())
         data, offsets = utf8(column)
@@ -64,8 +68,12 @@ class Items:
             self.shingles.append(shingles_of(h, k))
         sets = [np.unique(s) for s in self.shingles]
         every, df = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.known, self.idf = every, np.log1p(len(ids) / df)
-        self.default = float(np.log1p(len(ids)))
+        if common is not None:
+            df = np.ones(len(every), np.int64)
+            df[np.searchsorted(every, common)] = common_df
+        n_items = len(ids) if n_items is None else n_items
+        self.known, self.idf = every, np.log1p(n_items / df)
+        self.default = float(np.log1p(n_items))
         self.counts = []  # (distinct shingles as places in known, their numbers, total weight)
         for s in self.shingles:
             g, c = np.unique(s, return_counts=True)
@@ -189,15 +197,41 @@ def _scan(sent, threshold: float, id_type: pa.DataType):
     return run
 
 
-def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list[str]]]:
-    """The items in blocks whose size is bounded before they reach the driver. An item without text has nothing to find."""
+def _item_shingles(k: int):
+    """Each item's distinct shingles, with its part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(batch.column("text"), k))
+            parts = np.repeat(batch.column("part").to_numpy(zero_copy_only=False).astype(np.int64), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)), pa.array(parts)], ["shingle", "part"])
+
+    return run
+
+
+def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, k: int) -> Iterator[tuple]:
+    """What ``Items`` takes, in blocks whose size is bounded before they reach the driver. An item without text has nothing to find.
+
+    Of several blocks each gets the number of all items and how many of them have its own shingles; a shingle not sent is in one item.
+    """
     some = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     n, total = some.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = max(-(-2 * n // MOST_ITEMS), -(-2 * total // MOST_BYTES)) if n > MOST_ITEMS or total > MOST_BYTES else 1
+    if parts == 1:
+        rows = some.collect()
+        if rows:
+            yield [r[0] for r in rows], [r[1] for r in rows], k
+        return
+    dealt = some.withColumn("part", F.expr(f"pmod(xxhash64(id, text), {parts})"))
+    held = dealt.select("text", "part").mapInArrow(_item_shingles(k), "shingle long, part long").groupBy("shingle", "part").agg(F.count("*").alias("n"))
+    held = stage(held, "item-shingles")
+    common = held.groupBy("shingle").agg(F.sum("n").alias("df")).where("df > 1")
+    common = stage(held.join(common, "shingle").select("part", "shingle", "df"), "item-frequencies")
     for part in range(parts):
-        rows = some.where(F.expr(f"pmod(xxhash64(id, text), {parts})") == part).collect() if parts > 1 else some.collect()
+        rows = dealt.where(F.col("part") == part).select("id", "text").collect()
         if rows:
-            yield [r[0] for r in rows], [r[1] for r in rows]
+            known = common.where(F.col("part") == part).select("shingle", "df").toArrow()
+            yield [r[0] for r in rows], [r[1] for r in rows], k, n, known["shingle"].to_numpy().view(np.uint64), known["df"].to_numpy()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = 5, threshold: float = 0.75) -> DataFrame:
@@ -217,7 +251,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     schema = f"key long, doc_id {dict(docs.dtypes)[id_col]}, item {'long' if item_type == 'bigint' else 'string'}, similarity double, first_word long, n_words long"
     out = spark.createDataFrame([], schema)
     items = benchmark if item_type == "bigint" else benchmark.withColumn(item_col, F.col(item_col).cast("string"))
-    for block in _item_blocks(items, item_col, item_text):
-        sent = spark.sparkContext.broadcast((*block, k))
+    for block in _item_blocks(items, item_col, item_text, k):
+        sent = spark.sparkContext.broadcast(block)
         out = out.unionByName(base.mapInArrow(_scan(sent, threshold, arrow), schema))
     return out.withColumn("item", F.col("item").cast(item_type)).withColumnRenamed("item", item_col)

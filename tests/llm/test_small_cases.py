@@ -1,6 +1,7 @@
 """Every operator and pipeline stage on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -246,6 +247,22 @@ def test_decontamination_of_short_documents(spark):
     assert all(r.item_id == 1 and r.first_word == 0 and r.n_words == len(texts[i]) and r.similarity == pytest.approx(brute[i]) for i, r in found.items())
 
 
+def test_decontamination_weights_over_all_blocks(spark, monkeypatch):
+    shared = PROSE[11].split()[:20]
+    items = {i: PROSE[i].split()[:20] + shared for i in range(10)}
+    docs = spark.createDataFrame([(i, " ".join(PROSE[i].split()[:20] + shared[: 8 + i])) for i in items], "doc_id long, text string")
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    sets = {i: shingles(" ".join(t)) for i, t in items.items()}
+    df = Counter(s for x in sets.values() for s in x)
+    weight = lambda x: sum(math.log1p(len(items) / df[s]) for s in x)
+    brute = {(d.doc_id, i): weight(x & shingles(d.text)) / weight(x) for d in docs.collect() for i, x in sets.items()}
+    brute = {p: pytest.approx(s) for p, s in brute.items() if s >= 0.75}
+    run = lambda: {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(docs, table).collect()}
+    assert run() == brute and len(brute) >= 10
+    monkeypatch.setattr(decontaminate, "MOST_ITEMS", 4)
+    assert run() == brute
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).select("doc_id", "source", "text", "size", "source_size", "target", "copies").collect()
     assert len(rows) == len(ROWS) and all(r["size"] == len(words(r.text)) and 0 <= r.copies <= 3 for r in rows)
