@@ -22,10 +22,13 @@ VERSION = "WARC/1.1"
 RECORD = "record_id string, warc_type string, refers_to string, target_uri string, date string, content_type string, payload_digest string, block_digest string, fields map<string,string>, block binary"
 _ARROW = pa.schema([(n, pa.string()) for n in ("record_id", "warc_type", "refers_to", "target_uri", "date", "content_type", "payload_digest", "block_digest")] + [("fields", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
 #: Elements whose content is no text, and elements that begin a line.
-HIDDEN = "script|style|template|noscript|head"
+HIDDEN = "script|style|template|noscript"
 BREAKS = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>", re.S)
-_HIDDEN = re.compile(rf"<({HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: Whichever begins first: what a comment holds begins no element, and what an element or a title holds begins no comment.
+_HIDDEN = re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<({HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)|(?P<title><title\b[^>]*>(?:(?!<title\b|</head\b|<body\b).)*?</title\s*>)", re.S | re.I)
+#: A head ends at its end tag or at the body's begin, both of which can be left out. Only its title is text that does not show.
+_HEAD = re.compile(r"<head(?=[\s/>]).*?(?=</head\b|<body\b|\Z)", re.S | re.I)
+_HEAD_TITLE = re.compile(r"<title\b[^>]*>(?:(?:(?!<title\b).)*?</title\s*>|[^<]*)", re.S | re.I)
 _BREAK = re.compile(rf"</?(?:{BREAKS})\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^>]*>")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
@@ -43,7 +46,8 @@ def urn(*parts: str) -> str:
 
 def plain_text(page: str) -> str:
     """The visible text of a page, a line for each block, without blank lines."""
-    page = _HIDDEN.sub(" ", _COMMENT.sub(" ", page))
+    page = _HIDDEN.sub(lambda m: m["title"] or " ", page)
+    page = _HEAD.sub(lambda m: _HEAD_TITLE.sub(" ", m[0]), page)
     text = html.unescape(_TAG.sub("", _BREAK.sub("\n", re.sub(r"\s+", " ", page))))
     lines = (" ".join(x.split()) for x in text.split("\n"))
     return "\n".join(x for x in lines if x)

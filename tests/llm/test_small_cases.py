@@ -337,6 +337,24 @@ def test_warc_round_trip(spark):
     assert warc.derivatives(warc.responses(pages.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>t</title><body><p>all the text</p></body></html>", "all the text"),
+        ("<html><head><title>t</title><meta charset=utf-8><p>all the text<p>more", "all the text\nmore"),
+        ("<head><title>t</title><link href=a>plain text<div>more</div>", "plain text\nmore"),
+        ("<head><title>t</title><style>p{}</style></head><p>one</p>", "one"),
+        ("<head><title>t <!-- x</title></head><body>one<p>two", "one\ntwo"),
+        ("<head><title>t<meta charset=utf-8></head><body>one", "one"),
+        ("<body>one<script>var a = '<!--';</script><p>two</p><!-- c --><p>three</p>", "one\ntwo\nthree"),
+        ("<body>one<!-- <script> --><p>two</p><!-- </script> <style> --><p>three</p>", "one\ntwo\nthree"),
+        ("<body>one<header>two</header><!-- open", "one\ntwo"),
+    ],
+)
+def test_warc_text(page, text):
+    assert warc.plain_text(page) == text
+
+
 def test_warc_files(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>{i}</p>") for i in range(5)], "page_id long, url string, html string")
     records = warc.serialized(warc.responses(pages)).collect()
