@@ -47,7 +47,7 @@ class MailArchive:
         return stats.label_counts(self.messages)
 
     def thread_nodes(self) -> DataFrame:
-        return threads.thread_nodes(self.messages)
+        return threads.with_positions(threads.thread_nodes(self.messages))
 
     def threads(self) -> DataFrame:
         return threads.thread_summary(self.messages)

@@ -90,14 +90,22 @@ def urls(c: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Binary units with two digits, trailing zeros dropped."""
+    """Binary units: a whole number as it is, any other with two digits, exact halves to the even one."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for i, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        text = F.regexp_replace(F.format_string("%.2f", n / float(1024**i)), r"\.?0+$", "")
-        out = F.when(n >= 1024**i, F.concat(text, F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= 1024**i, _in_unit(n.cast("long"), 1024**i, unit)).otherwise(out)
     return out
 
 
+def _in_unit(n: Column, size: int, unit: str) -> Column:
+    # whole units and the rest apart, so that nothing is rounded before the last digit
+    whole, rest = F.shiftright(n, size.bit_length() - 1), n % size
+    cents, over = F.shiftright(rest * 100, size.bit_length() - 1), (rest * 100) % size
+    cents = cents + F.when((over * 2 > size) | ((over * 2 == size) & (cents % 2 == 1)), 1).otherwise(0)
+    full = F.concat((whole + F.floor(cents / 100)).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.concat(F.when(rest == 0, whole.cast("string")).otherwise(full), F.lit(f" {unit}"))
+
+
 def ctime(d: Column) -> Column:
     """``Www Mmm dd hh:mm:ss yyyy`` with the day padded by a blank."""
     return F.concat(F.date_format(d, "EEE MMM "), F.lpad(F.dayofmonth(d).cast("string"), 2, " "), F.date_format(d, " HH:mm:ss yyyy"))

@@ -199,7 +199,7 @@ def page_of_messages(spark, sf_dir):
 
 # ---- threads ---------------------------------------------------------------------------------
 
-_KEY = "CASE WHEN conv_id % 2 = 0 THEN CAST(conv_id AS VARCHAR) ELSE lower(regexp_replace(trim(o_subject), '^((re:|fwd:|fw:)\\s*)+', '', 'i')) END"
+_KEY = "CASE WHEN conv_id % 2 = 0 THEN CAST(conv_id AS VARCHAR) ELSE lower(regexp_replace(regexp_replace(o_subject, '^\\s+|\\s+$', '', 'g'), '^((re:|fwd:|fw:)\\s*)+', '', 'i')) END"
 _THREADS = f"""{C}, th AS (SELECT conv.*, {_KEY} AS thread_key FROM conv JOIN (SELECT conv_id AS o_id, subject AS o_subject FROM conv WHERE turn = 0) ON o_id = conv_id)"""
 
 
@@ -233,7 +233,7 @@ def _scalar(name: str, view: str, column: Callable[[], Column], sql: str):
 
 _SAFE = lambda c, n: f"CASE WHEN trim(replace(substr(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}\\-._@]', '_', 'g'), 1, {n}), '..', '_'), '.') = '' THEN 'unknown' ELSE trim(replace(substr(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}\\-._@]', '_', 'g'), 1, {n}), '..', '_'), '.') END"
 _CSV = lambda c: f"(CASE WHEN regexp_matches(g({c}), '[\",\\n\\r]') THEN '\"' || replace(g({c}), '\"', '\"\"') || '\"' ELSE g({c}) END)".replace(f"g({c})", f"(CASE WHEN regexp_matches({c}, '^[=+\\-@\\t\\r]') THEN '''' || {c} ELSE {c} END)")
-_scalar("normalize_subject", "conversations", lambda: T.normalize_subject(F.col("subject")), "lower(regexp_replace(trim(subject), '^((re:|fwd:|fw:)\\s*)+', '', 'i'))")
+_scalar("normalize_subject", "conversations", lambda: T.normalize_subject(F.col("subject")), "lower(regexp_replace(regexp_replace(subject, '^\\s+|\\s+$', '', 'g'), '^((re:|fwd:|fw:)\\s*)+', '', 'i'))")
 _scalar("normalize_message_id", "documents", lambda: T.normalize_id(F.concat(F.lit(" <"), F.col("message_id"), F.lit("> "))), "md5(text)")
 _scalar("address_display", "documents", lambda: T.address_display(F.col("from")), "source || ' <' || source || '@docs.example>'")
 _scalar("filename_eml", "documents", lambda: export.eml_name(), f"strftime(date, '%Y%m%d_%H%M%S') || '_' || {_SAFE('from_address', 30)} || '_' || {_SAFE('subject', 80)} || '.eml'")
@@ -244,7 +244,7 @@ _scalar("mbox_from_line", "documents", lambda: T.from_line(F.col("from.address")
 _scalar("from_quoting", "documents", lambda: F.md5(T.quote_from(F.concat(F.lit("From x\n"), F.col("body.text")))), "md5(regexp_replace('From x' || chr(10) || text, '(?m)^From ', '>From ', 'g'))")
 _scalar("from_unquoting", "documents", lambda: F.md5(T.unquote_from(F.concat(F.lit(">>From x\n>From y\n"), F.col("body.text")))), "md5(regexp_replace('>>From x' || chr(10) || '>From y' || chr(10) || text, '(?m)^>(>*From )', '\\1', 'g'))")
 _scalar("header_value_sanitize", "documents", lambda: T.header_value(F.col("body.text")), "trim(regexp_replace(text, '[\\x00-\\x1F\\x7F]', '', 'g'))")
-_scalar("human_size", "documents", lambda: T.human_size(F.col("length")), "CASE WHEN length < 1024 THEN length || ' B' ELSE regexp_replace(printf('%.2f', length / 1024.0::DOUBLE), '\\.?0+$', '') || ' KiB' END")
+_scalar("human_size", "documents", lambda: T.human_size(F.col("length")), "CASE WHEN length < 1024 THEN length || ' B' WHEN length < 1048576 THEN (CASE WHEN length % 1024 = 0 THEN CAST(length // 1024 AS VARCHAR) ELSE printf('%.2f', length / 1024.0::DOUBLE) END) || ' KiB' ELSE (CASE WHEN length % 1048576 = 0 THEN CAST(length // 1048576 AS VARCHAR) ELSE printf('%.2f', length / 1048576.0::DOUBLE) END) || ' MiB' END")
 _scalar("group_labels", "documents", lambda: T.group_label(F.when(F.col("offset") % 2 == 0, F.lit(" ")).otherwise(F.lit(" g ")), F.concat(F.col("from.display_name"), F.lit("@GoogleGroups.com"))), "CASE WHEN \"offset\" % 2 = 0 THEN source ELSE 'g' END")
 _scalar("body_match_count", "documents", lambda: F.size(T.body_matches(F.col("body.text"), "The")), "CAST(len(string_split(lower(text), 'the')) - 1 AS INTEGER)")
 _scalar("rfc2047_decode", "documents", lambda: T.rfc2047_decode(F.concat(F.lit("=?utf-8?B?"), base64("subject"), F.lit("?= =?UTF-8?Q?_=C3=BC?="))), "subject || ' ü'")

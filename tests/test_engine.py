@@ -145,7 +145,7 @@ def test_names(spark):
 
 def test_text_functions(spark):
     row = spark.createDataFrame([("=1+1", "ab/../c é.", "x" * 300)], "a string, b string, c string").select(T.csv_field(F.col("a")).alias("a"), T.file_name_part(F.col("b"), 20).alias("b"), F.length(T.cut_bytes(F.concat(F.lit("é"), F.col("c")), 10)).alias("c"), T.human_size(F.lit(1536)).alias("d"), T.thread_indent(F.lit(2)).alias("e")).first()
-    assert (row.a, row.b, row.c, row.d, row.e) == ("'=1+1", "ab___c_é", 9, "1.5 KiB", "│└ ")
+    assert (row.a, row.b, row.c, row.d, row.e) == ("'=1+1", "ab___c_é", 9, "1.50 KiB", "│└ ")
     assert T.match_ranges("Éa éA", "éa") == [(0, 3), (4, 7)] and T.match_ranges("aaa", "aa") == [(0, 2)] and T.match_ranges("x", "") == []
     assert T.terminal_line("a\tb\x07") == "a       b�" and T.cut_width("日本語テキスト", 9) == "日本語..." and T.cut_width("abc", 3) == "abc"
     assert T.wrap_next(4, 5) == 0 and T.wrap_next(0, 5, -1) == 4 and T.wrap_next(0, 0) is None
