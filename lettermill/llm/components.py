@@ -1,34 +1,5 @@
-"""Connected components by rounds of contraction; nothing is gathered on the driver."""
+"""Connected components, as the rest of the library finds them."""
 
-from __future__ import annotations
+from ..operators.components import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .stage import stage
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (u, v); the component is its least node.
-
-    Each round maps every node to its least neighbour or itself, and carries on with the edges
-    between the images. The least node of a component always maps to itself, so it ends as the label.
-    Loops, repeated edges and either direction are allowed; an empty table gives an empty one.
-    """
-    spark = edges.sparkSession
-    edges = stage(edges.select("u", "v").where("u is not null and v is not null").distinct(), "edges")
-    rounds: list[DataFrame] = []
-    while True:
-        both = edges.union(edges.select("v", "u"))
-        least = stage(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("to")), "least")
-        rounds.append(least)
-        head, tail = least.select(F.col("node").alias("u"), F.col("to").alias("pu")), least.select(F.col("node").alias("v"), F.col("to").alias("pv"))
-        edges = stage(edges.join(head, "u").join(tail, "v").where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
-        if edges.isEmpty():
-            break
-    # the last round's images are labels; carry them back through the earlier rounds
-    labels = rounds[-1].select("node", F.col("to").alias("component"))
-    for least in reversed(rounds[:-1]):
-        later = labels.select(F.col("node").alias("to"), "component")
-        labels = least.join(later, "to", "left").select("node", F.coalesce("component", "to").alias("component"))
-    return stage(labels, "components")
+__all__ = ["connected_components"]

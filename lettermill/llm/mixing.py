@@ -1,23 +1,29 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target divided by its size is its number of passes: whole passes take every document,
-the fraction is the inclusion probability p of a fixed-size sample. Documents rank by their random
-odds divided by their inclusion odds, (u / (1 - u)) / (p / (1 - p)), and are taken in that order
-while they fit; one further document, the one that comes closest to the words still missing, is
-added if that brings the source nearer to its target. u is a hash of id and text, so reruns agree.
-
-The cut of a source is found in two steps, by sums over ``CELLS`` cells of u and then within the one cell
-that holds it; no source is sorted as a whole.
+A document's expected number of copies grows with its size: min(3, c k), where k is about 16 (1 + log2 of its
+words) and c is chosen for each source so that the expected words are the source's target. The whole
+part are certain copies. The fraction is the inclusion probability p of one copy more, drawn in samples of fixed
+size: documents of one octave of sizes rank by their random odds divided by their inclusion odds,
+(u / (1 - u)) / (p / (1 - p)), and the first n have it, n being the sum of their p. Octaves go from the large
+sizes to the small ones, and the words by which one misses what was expected of it are added to what the next one is to draw,
+so a source's sum comes near its target although each sample has a fixed size.
+u is a hash of id and text, so reruns agree.
+
+Ranks are counted in ``CELLS`` cells for each octave, and a sample ends at the cell's end that is nearest to its size, so
+no source is ever sorted, or seen by one task, as a whole.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import ranked
 from .stage import stage
 
 CELLS = 4096
+OCTAVES = 64
 MOST_COPIES = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,22 +32,25 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     """``sizes`` (source, source_size) with each source's weight and target.
 
     Sources by code point, null last, weigh ``weights`` over and over and share the sum of all sizes;
-    targets stop at ``most`` times the source's size and the excess is shared again by weight.
+    targets stop at ``most`` times the source's size and the excess is shared again by weight, until none is above.
+    Each sharing is one aggregation over the sources.
     """
-    n = len(weights)
-    table = F.array(*map(F.lit, weights))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weighed = sizes.withColumn("weight", F.element_at(table, ((F.row_number().over(by_name) - 1) % n + 1).cast("int")).cast("long"))
-    # sources reach their limits in the order of limit by weight; each one's level is what is left for it and those behind
-    by_limit = Window.orderBy((F.col("source_size") / F.col("weight")), F.col("source").asc_nulls_last())
-    before, all_ = by_limit.rowsBetween(Window.unboundedPreceding, -1), by_limit.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place = (F.col("rank") - 1) % len(weights) + 1
+    weight = F.element_at(F.array(*map(F.lit, weights)), place.cast("int")).cast("long")
+    weighed = stage(ranked(sizes, [F.col("source").asc_nulls_last()]).select("source", "source_size", weight.alias("weight")), "weights")
+    total, all_weights = weighed.agg(F.sum("source_size"), F.sum("weight")).first()
     limit = most * F.col("source_size")
-    left = F.sum("source_size").over(all_) - F.coalesce(F.sum(limit).over(before), F.lit(0))
-    share = F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    levels = weighed.withColumn("level", left.cast("double") / share.cast("double")).withColumn("stopped", F.col("weight") * F.col("level") > limit)
-    common = F.min_by("level", F.when(~F.col("stopped"), F.struct(F.col("source_size") / F.col("weight"), F.col("source").isNull(), "source"))).over(Window.partitionBy())
-    target = F.when(F.col("stopped") | common.isNull(), limit.cast("double")).otherwise(F.least(F.col("weight") * common, limit.cast("double")))
-    return levels.select("source", "source_size", "weight", target.alias("target"))
+    if total is None:
+        return weighed.withColumn("target", F.lit(0.0))
+    level, stopped = total / all_weights, 0
+    while level is not None:
+        now, size, weight_of = weighed.where(F.col("weight") * F.lit(level) > limit).agg(F.count("*"), F.sum("source_size"), F.sum("weight")).first()
+        if now == stopped:
+            break
+        stopped = now
+        level = (total - most * size) / (all_weights - weight_of) if all_weights > weight_of else None
+    share = limit.cast("double") if level is None else F.least(F.col("weight") * F.lit(level), limit.cast("double"))
+    return weighed.withColumn("target", share)
 
 
 def random_key(id_col: str, text_col: str, seed: str) -> Column:
@@ -53,50 +62,98 @@ def uniform(key: Column) -> Column:
     return (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def octave(size: Column) -> Column:
+    """Binary digits of a size."""
+    return F.length(F.bin(size))
+
+
+def size_class(size: str) -> Column:
+    """16 classes in each octave; their numbers grow with the logarithm of the size."""
+    digits = f"length(bin({size}))"
+    return F.expr(f"16 * ({digits} - 1) + shiftright(shiftleft({size}, 5), {digits})").cast("long")
+
+
+def expected(c: Column, k: Column) -> Column:
+    """Expected copies of a document of class k."""
+    return F.when(c.isNull(), F.lit(float(MOST_COPIES))).otherwise(F.least(F.lit(float(MOST_COPIES)), c * k))
+
+
+def rank_cell(u: Column, p: Column) -> Column:
+    """The cell of a document's rank: random odds by inclusion odds, brought between 0 and 1."""
+    odds = F.try_divide(u / (1 - u), p / (1 - p))
+    return F.least((odds / (1 + odds) * CELLS).cast("int"), F.lit(CELLS - 1))
+
+
+def draw(classes: list[tuple[int, int, int, float]], cells: dict[int, list[tuple[int, int, int]]]) -> list[int]:
+    """The last cell that each octave's sample takes, -1 for none.
+
+    ``classes`` are (octave, documents, words, p), ``cells`` hold (cell, documents, words) by octave.
+    """
+    cuts, carried = [-1] * OCTAVES, 0.0
+    for o in sorted(cells, reverse=True):
+        number = sum(n * p for at, n, _, p in classes if at == o)
+        words = sum(w * p for at, _, w, p in classes if at == o)
+        goal = words + carried
+        wanted = number * goal / words
+        best, taken, held, drawn = abs(wanted), 0, 0, 0
+        for cell, n, w in sorted(cells[o]):
+            held, drawn = held + n, drawn + w
+            if abs(held - wanted) < best:
+                best, taken, cuts[o] = abs(held - wanted), drawn, cell
+        carried = goal - taken
+    return cuts
+
+
+def _cuts(table: pa.Table) -> pa.Table:
+    classes, cells = [], {}
+    for r in table.to_pylist():
+        if r["cell"] is None:
+            classes.append((r["octave"], r["n"], r["words"], r["p"]))
+        else:
+            cells.setdefault(r["octave"], []).append((r["cell"], r["n"], r["words"]))
+    classes.sort(key=lambda x: x[2] * x[3])
+    return pa.table({"source": table["source"][:1], "cuts": pa.array([draw(classes, cells)], pa.list_(pa.int32()))})
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:
     """``docs`` with size (words of the text, 0 for a null), source_size, target and copies (0 to MOST_COPIES).
 
-    A null source is a source of its own. Rows that are equal in id and text are ordered alike, so they are
-    taken together. Other columns stay, unless one is called size, source_size, target or copies. An empty
-    table gives none; with no words at all nothing is taken.
+    A null source is a source of its own. Rows that are equal in id and text have one rank, so they are
+    taken together. Documents without words are never taken. Other columns stay, unless one is called size, source_size, target
+    or copies, which are replaced. An empty table gives none; with no words at all nothing is taken.
     """
-    sized = docs.withColumns({"size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"), "__key": random_key(id_col, text_col, seed)})
-    small = stage(sized.select(F.col(source_col).alias("source"), "size", F.col("__key").alias("key"), uniform(F.col("__key")).alias("u")), "sizes")
-    sources = stage(targets(small.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    passes = F.when(F.col("source_size") > 0, F.floor(F.try_divide("target", "source_size"))).otherwise(0)
-    plan = sources.withColumn("whole", passes.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).select(F.struct("*").alias("plan"))
-    same = small["source"].eqNullSafe(F.col("plan.source"))
-    p = F.try_divide("rest", "plan_size")
-    drawn = small.join(plan, same).select(small["source"], "size", "key", "u", F.col("plan.rest").alias("rest"), F.col("plan.source_size").alias("plan_size")).where("rest > 0")
-    # rest is below the source's size, so 0 < p < 1
-    drawn = drawn.withColumn("rank", F.try_divide(F.col("u") / (1 - F.col("u")), F.try_divide(p, 1 - p))).withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
-    cells = drawn.groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    upto = Window.partitionBy("source").orderBy("cell")
-    running = cells.withColumn("upto", F.sum("words").over(upto))
-    cut_cell = running.where("upto > rest").groupBy("source").agg(F.min("cell").alias("cut"), F.min_by(F.col("upto") - F.col("words"), "cell").alias("before")).select(F.struct("*").alias("c"))
-    within = drawn.join(cut_cell, drawn["source"].eqNullSafe(F.col("c.source")) & (F.col("cell") == F.col("c.cut")))
-    # equal keys come together: the running sum is by range, not by row
-    order = Window.partitionBy(drawn["source"]).orderBy(F.struct("rank", "key")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    fitting = within.select(drawn["source"], F.struct("rank", "key").alias("place"), "rest", (F.col("c.before") + F.sum("size").over(order)).alias("upto")).where("upto <= rest")
-    last = fitting.groupBy("source").agg(F.max("place").alias("place"), F.max("upto").alias("upto"))
-    cuts = cut_cell.select("c.*").join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
-    cuts = stage(cuts.select("source", "cut", "place", F.coalesce("upto", "before").alias("words")).select(F.struct("*").alias("cut")), "cuts")
-
-    def taken(cell: Column, place: Column) -> Column:
-        return (cell < F.col("cut.cut")) | ((cell == F.col("cut.cut")) & F.coalesce(place <= F.col("cut.place"), F.lit(False)))
-
-    rejected = drawn.join(cuts, drawn["source"].eqNullSafe(F.col("cut.source"))).where(~taken(F.col("cell"), F.struct("rank", "key")))
-    missing = F.col("rest") - F.col("cut.words")
-    groups = rejected.select(drawn["source"], "rank", "key", "size", missing.alias("missing")).groupBy("source", "rank", "key").agg(F.sum("size").alias("size"), F.first("missing").alias("missing"))
-    closest = F.struct(F.abs(F.col("missing") - F.col("size")), "rank", "key")
-    added = groups.where(F.abs(F.col("missing") - F.col("size")) < F.col("missing")).groupBy("source").agg(F.min_by("key", closest).alias("added")).select(F.struct("*").alias("extra"))
-    decided = plan.join(cuts, F.col("plan.source").eqNullSafe(F.col("cut.source")), "left").join(added, F.col("plan.source").eqNullSafe(F.col("extra.source")), "left")
-    decided = stage(decided.select(F.struct(F.col("plan.source").alias("source"), F.col("plan.source_size").alias("source_size"), F.col("plan.target").alias("target"), F.col("plan.whole").alias("whole"), F.col("plan.rest").alias("rest"), F.col("cut.cut").alias("cut"), F.col("cut.place").alias("place"), F.col("extra.added").alias("added")).alias("__mix")), "mix")
-    m = {c: F.col(f"__mix.{c}") for c in ("source_size", "target", "whole", "rest", "cut", "place", "added")}
-    u = uniform(F.col("__key"))
-    q = F.try_divide(m["rest"], m["source_size"])
-    place, cell = F.struct(F.try_divide(u / (1 - u), F.try_divide(q, 1 - q)).alias("rank"), F.col("__key").alias("key")), F.floor(u * CELLS).cast("int")
-    # a source whose documents all fit has no cut
-    drawn_too = (m["rest"] > 0) & (m["cut"].isNull() | (cell < m["cut"]) | ((cell == m["cut"]) & F.coalesce(place <= m["place"], F.lit(False))) | F.coalesce(F.col("__key") == m["added"], F.lit(False)))
+    key = random_key(id_col, text_col, seed)
+    sized = docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
+    small = stage(sized.select(F.col(source_col).alias("source"), "size", uniform(key).alias("u")), "sizes")
+    shares = stage(targets(small.groupBy("source").agg(F.sum("size").alias("source_size"))).drop("weight"), "targets")
+    some = small.where("size > 0").withColumns({"octave": octave(F.col("size")), "k": size_class("size")})
+    classes = stage(some.groupBy("source", "octave", "k").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "classes")
+    # c: classes reach MOST_COPIES from the largest on; each one's level is what is left for it and those below
+    larger = Window.partitionBy("source").orderBy(F.desc("k"))
+    own = classes.join(shares.select(F.struct("source", "target").alias("s")), classes["source"].eqNullSafe(F.col("s.source")))
+    left = F.col("s.target") - MOST_COPIES * F.coalesce(F.sum("words").over(larger.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    level = left / F.sum(F.col("k") * F.col("words")).over(larger.rowsBetween(Window.currentRow, Window.unboundedFollowing)).cast("double")
+    levels = own.select(classes["source"], "k", level.alias("level"))
+    factors = levels.where(F.col("level") * F.col("k") <= MOST_COPIES).groupBy("source").agg(F.max_by("level", "k").alias("c"))
+    factors = shares.join(factors.select(F.struct("source", "c").alias("f")), F.col("source").eqNullSafe(F.col("f.source")), "left")
+    plan = stage(factors.select(F.struct("source", "source_size", "target", F.col("f.c").alias("c")).alias("plan")), "plan")
+
+    copies = expected(F.col("plan.c"), F.col("k"))
+    fraction = copies - F.floor(copies)
+    cell = rank_cell(F.col("u"), F.col("p"))
+    drawn = some.join(plan, some["source"].eqNullSafe(F.col("plan.source"))).withColumn("p", fraction).where("p > 0")
+    cells = drawn.groupBy(some["source"], "octave", cell.alias("cell")).agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.lit(None).cast("double").alias("p"))
+    fractions = classes.join(plan, classes["source"].eqNullSafe(F.col("plan.source"))).withColumn("p", fraction).where("p > 0")
+    folded = cells.unionByName(fractions.select(classes["source"], "octave", F.lit(None).cast("int").alias("cell"), "n", "words", "p"))
+    # at most CELLS cells of each octave, however many documents a source has
+    cuts = folded.groupBy("source").applyInArrow(_cuts, f"source {dict(docs.dtypes)[source_col]}, cuts array<int>").select(F.struct("source", "cuts").alias("drawn"))
+    decided = plan.join(cuts, F.col("plan.source").eqNullSafe(F.col("drawn.source")), "left")
+    decided = stage(decided.select(F.struct("plan.source", "plan.source_size", "plan.target", "plan.c", "drawn.cuts").alias("__mix")), "mix")
+
+    m = {x: F.col(f"__mix.{x}") for x in ("source_size", "target", "c", "cuts")}
+    copies = expected(m["c"], size_class("size"))
+    p = copies - F.floor(copies)
+    once_more = F.coalesce((p > 0) & (rank_cell(uniform(key), p) <= F.get(m["cuts"], octave(F.col("size")))), F.lit(False))
+    taken = F.when(F.col("size") > 0, F.floor(copies) + once_more.cast("long")).otherwise(0).cast("long")
     out = sized.join(decided, sized[source_col].eqNullSafe(F.col("__mix.source")), "left")
-    return out.withColumns({"source_size": m["source_size"], "target": m["target"], "copies": m["whole"] + drawn_too.cast("long")}).drop("__mix", "__key")
+    return out.withColumns({"source_size": m["source_size"], "target": m["target"], "copies": taken}).drop("__mix")

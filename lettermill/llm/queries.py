@@ -118,22 +118,31 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op9_mixing"] = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS key FROM documents),
-u AS (SELECT *, (CAST('0x' || substr(key, 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM d),
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    (CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
-w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER o, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0))::DOUBLE AS level
-  FROM w WINDOW o AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, CASE WHEN weight * level > 3 * source_size THEN (3 * source_size)::DOUBLE
+  FROM w WINDOW o AS (ORDER BY source_size / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT sid, source, source_size, CASE WHEN weight * level > 3 * source_size THEN (3 * source_size)::DOUBLE
     ELSE least(weight * (SELECT arg_min(level, source_size / weight) FROM l WHERE weight * level <= 3 * source_size), (3 * source_size)::DOUBLE) END AS target FROM l),
-p AS (SELECT *, floor(target / source_size) AS whole, target - floor(target / source_size) * source_size AS rest FROM t),
-r AS (SELECT u.*, source_size, target, whole, rest, sum(size) OVER (PARTITION BY u.source ORDER BY u, key) AS upto FROM u JOIN p ON p.source IS NOT DISTINCT FROM u.source),
-c AS (SELECT source, rest - coalesce(max(upto) FILTER (upto <= rest), 0) AS missing FROM r GROUP BY source, rest),
-x AS (SELECT source, arg_min(key, (gap, u, key)) AS added FROM (SELECT r.source, key, u, abs(missing - size) AS gap, missing FROM r JOIN c ON c.source IS NOT DISTINCT FROM r.source WHERE upto > rest AND rest > 0)
-  WHERE gap < missing GROUP BY source)
-SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN rest > 0 AND (upto <= rest OR coalesce(key = added, false)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM r LEFT JOIN x ON x.source IS NOT DISTINCT FROM r.source
+x AS (SELECT d.*, t.sid, t.source_size, t.target, length(bin(size)) AS o, 16 * (length(bin(size)) - 1) + ((size << 5) >> length(bin(size))) AS k FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+classes AS (SELECT sid, target, o, k, count(*) AS n, sum(size) AS words FROM x WHERE size > 0 GROUP BY ALL),
+levels AS (SELECT sid, k, (target - 3 * coalesce(sum(words) OVER (PARTITION BY sid ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / (sum(k * words) OVER (PARTITION BY sid ORDER BY k DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM classes),
+f AS (SELECT sid, arg_max(level, k) AS c FROM levels WHERE level * k <= 3 GROUP BY sid),
+e AS (SELECT x.*, CASE WHEN c IS NULL THEN 3::DOUBLE ELSE least(3::DOUBLE, c * k) END AS copies FROM x LEFT JOIN f USING (sid)),
+odds AS (SELECT *, copies - floor(copies) AS p, u / (1 - u) / ((copies - floor(copies)) / (1 - (copies - floor(copies)))) AS odds FROM e),
+ranks AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN least(CAST(floor(odds / (1 + odds) * 4096) AS INTEGER), 4095) END AS cell FROM odds),
+g AS (SELECT sid, o, sum(n * p) AS number, sum(words * p) AS words FROM (SELECT sid, o, k, p, count(*) AS n, sum(size) AS words FROM ranks WHERE cell IS NOT NULL GROUP BY ALL) GROUP BY sid, o),
+ends AS (SELECT sid, o, cell, sum(n) OVER b AS held, sum(words) OVER b AS drawn FROM (SELECT sid, o, cell, count(*) AS n, sum(size) AS words FROM ranks WHERE cell IS NOT NULL GROUP BY ALL)
+  WINDOW b AS (PARTITION BY sid, o ORDER BY cell) UNION ALL SELECT sid, o, -1, 0, 0 FROM g),
+fold AS (SELECT sid, 64 AS o, 0::DOUBLE AS carried, -1 AS cut FROM t
+  UNION ALL SELECT fold.sid, fold.o - 1, CASE WHEN g.words IS NULL THEN fold.carried ELSE g.words + fold.carried - arg_min(drawn::DOUBLE, (abs(held - g.number * (g.words + fold.carried) / g.words), held)) END,
+    coalesce(arg_min(cell, (abs(held - g.number * (g.words + fold.carried) / g.words), held)), -1)
+  FROM fold LEFT JOIN g ON g.sid = fold.sid AND g.o = fold.o - 1 LEFT JOIN ends ON ends.sid = fold.sid AND ends.o = fold.o - 1 WHERE fold.o > 1 GROUP BY fold.sid, fold.o, fold.carried, g.words, g.number)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN size * (floor(copies) + CASE WHEN coalesce(cell <= cut, false) THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken
+FROM ranks LEFT JOIN fold ON fold.sid = ranks.sid AND fold.o = ranks.o
 """
 
 

@@ -2,29 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests, one machine), a new temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        path = "file://" + tempfile.mkdtemp(prefix="lettermill-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet below the shared folder and read back: later reads do not recompute it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lettermill/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+from ..stage import stage
 
+__all__ = ["bound_batches", "bucket_count", "packed_rows", "stage", "unused"]
 
 #: Rows and bytes of a batch that goes to Python: texts are long, and a worker holds a batch several times over.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
@@ -42,3 +25,16 @@ def bucket_count(spark: SparkSession, per_partition: int = 4) -> int:
     """Buckets for packed arrays: a fixed number for each shuffle partition, so that one bucket
     stays a fraction of what the session lets a task hold."""
     return per_partition * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def unused(names: list[str], wanted: str) -> str:
+    """``wanted``, with as many underscores behind it as tell it from ``names`` whatever their case."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def packed_rows(docs: DataFrame, **columns: str | Column) -> DataFrame:
+    """``docs`` with each row as one struct ``row`` and the named columns beside it: nothing that is added to it meets a caller's column."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()))
