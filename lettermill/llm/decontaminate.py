@@ -1,13 +1,16 @@
 """Benchmark decontamination by SimHash windows.
 
 Windows of an item's own number of words slide over the documents, a shorter document being one window; each window and each item has a
-64-bit SimHash of its weighted word shingles. A multi-index over ``BLOCKS`` blocks of the bits finds every
-window within ``RADIUS`` bits of an item: some block then differs in at most RADIUS // BLOCKS bits.
+``BITS``-bit SimHash of its weighted word shingles. A multi-index over blocks of 64 bits finds all
+items within ``RADIUS`` bits of a window: some block of theirs then differs in RADIUS // BLOCKS bits at most, and only
+items that pass in some block are compared as a whole. Whatever is within the radius is verified, and nothing else.
 Exact similarity decides: the weight of the item's shingles that the window has, as a multiset, by the weight
-of all its shingles. Weights are inverse document frequencies among all items, whatever their block.
+of all its shingles (the share of the item that is covered, not the symmetric Jaccard similarity of the two, which is never above it).
+Weights are inverse document frequencies among all items, whatever their block.
 
-Only windows that can reach the threshold are fingerprinted: those that hold a shingle of an item of which the
-whole document holds enough. Both are upper bounds, so nothing is lost.
+A window and an item of which it covers 3/4 have an angle of about acos(3/4), so some 23 % of their bits differ, 59 of 256 give or take 7,
+against 128 give or take 8 for strangers. The radius of 80 is three deviations from the former and six from the latter; the tests measure its recall
+against brute force. A window without any shingle of an item of its size covers nothing, so it gets no fingerprint.
 Items are sent to the executors in blocks of ``MOST_ITEMS`` items and ``MOST_BYTES`` bytes at most,
 one pass over the documents for each block.
 """
@@ -21,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import bound_batches, stage
+from .stage import bound_batches, packed_rows, stage
 from .text import _PLACE, chunks, mix, shingle_sets, shingles_of, utf8, words
 
-BLOCKS, RADIUS = 8, 31
+BLOCKS, RADIUS = 4, 80
+BITS = 64 * BLOCKS
 MOST_ITEMS, MOST_BYTES = 20_000, 16 << 20
-_FLIPS = np.array([bin(i).count("1") for i in range(256)])
+#: Windows and items that are compared at once.
+_AT_ONCE = 1 << 20
+_SALT = np.random.default_rng(256).integers(1, 2**63, BLOCKS, dtype=np.uint64)
 
 
 def sequence_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -39,14 +45,29 @@ def sequence_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def signs(shingles: np.ndarray) -> np.ndarray:
-    """+1 and -1 for the 64 bits of each hash."""
-    bits = np.unpackbits(mix(shingles).view(np.uint8).reshape(-1, 8), axis=1)
-    return bits.astype(np.float32) * 2 - 1
+    """+1 and -1 for the bits of each shingle."""
+    wide = mix(shingles[:, None] ^ _SALT[None, :])
+    return np.unpackbits(wide.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
 
 
 def fingerprints(sums: np.ndarray) -> np.ndarray:
-    """Fingerprints, as eight bytes each, from sums of weighted signs."""
-    return np.packbits(sums > 0, axis=1)
+    """Fingerprints, BLOCKS words of 64 bits each, from sums of weighted signs."""
+    return np.packbits(sums > 0, axis=1).view(np.uint64)
+
+
+def within_radius(windows: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, item) of the fingerprints that differ in RADIUS bits at most."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    step = max(1, _AT_ONCE // max(1, len(items)))
+    for at in range(0, len(windows), step):
+        part = windows[at : at + step]
+        near = np.zeros((len(part), len(items)), bool)
+        for block in range(BLOCKS):
+            near |= np.bitwise_count(part[:, block, None] ^ items[None, :, block]) <= RADIUS // BLOCKS
+        w, i = np.nonzero(near)
+        whole = np.bitwise_count(part[w] ^ items[i]).sum(1, dtype=np.int64) <= RADIUS
+        found.append((w[whole] + at, i[whole]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 class Items:
@@ -79,19 +100,16 @@ class Items:
             g, c = np.unique(s, return_counts=True)
             at = np.searchsorted(every, g)
             self.counts.append((at, c, float((self.idf[at] * c).sum())))
-        # for each known shingle the items that have it, with the weight it has there
-        pairs = sorted((p, i, w) for i, (at, c, _) in enumerate(self.counts) for p, w in zip(at.tolist(), (self.idf[at] * c).tolist(), strict=True))
-        self.begin = np.searchsorted([p for p, _, _ in pairs], np.arange(len(every) + 1))
-        self.item = np.array([i for _, i, _ in pairs], np.int64)
-        self.weight = np.array([w for _, _, w in pairs], np.float64)
-        self.total = np.array([t for _, _, t in self.counts], np.float64)
         self.sizes: dict[int, list[int]] = {}
         for i, n in enumerate(self.n_words):
             if n:
                 self.sizes.setdefault(n, []).append(i)
-        self.prints = {n: fingerprints(np.stack([(signs(self.shingles[i]) * self.weights(self.shingles[i])[:, None]).sum(0) for i in which])) for n, which in self.sizes.items()}
-        # index: may a byte stand in this block of an item's fingerprint, allowing for the block's share of the radius?
-        self.index = {n: _FLIPS[np.arange(256)[None, :, None] ^ p.T[:, None, :]] <= RADIUS // BLOCKS for n, p in self.prints.items()}
+        self.prints = {n: fingerprints(np.stack([np.round((signs(self.shingles[i]) * self.weights(self.shingles[i])[:, None]).sum(0, dtype=np.float64), 6) for i in which])) for n, which in self.sizes.items()}
+        # for each size the shingles that its items have
+        self.of_size = {n: np.unique(np.concatenate([self.counts[i][0] for i in which])) for n, which in self.sizes.items()}
+        pairs = sorted((p, n) for n, places in self.of_size.items() for p in places.tolist())
+        self.begin = np.searchsorted([p for p, _ in pairs], np.arange(len(every) + 1))
+        self.size_of = np.array([n for _, n in pairs], np.int64)
 
     def place(self, s: np.ndarray) -> np.ndarray:
         """Places of shingles among the items' shingles, -1 for others."""
@@ -110,89 +128,95 @@ class Items:
         found = np.bincount(np.searchsorted(at, p) if len(p := places[np.isin(places, at)]) else np.zeros(0, np.int64), minlength=len(at))
         return float((self.idf[at] * np.minimum(found, c)).sum()) / total if total else 0.0
 
-    def candidates(self, owner: np.ndarray, places: np.ndarray, threshold: float) -> dict[int, list[int]]:
-        """For documents (owner) with known shingles the items of which they hold enough, in whatever order."""
-        pairs = np.unique(owner.astype(np.int64) * len(self.known) + places)
-        owner, places = pairs // len(self.known), pairs % len(self.known)
-        size = self.begin[places + 1] - self.begin[places]
-        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.begin[places], size)
-        both, which = np.unique(np.repeat(owner, size) * len(self.ids) + self.item[at], return_inverse=True)
-        held = np.bincount(which, self.weight[at], len(both))
-        enough = held >= threshold * self.total[both % len(self.ids)] * (1 - 1e-9)
-        out: dict[int, list[int]] = {}
-        for x in both[enough].tolist():
-            out.setdefault(x // len(self.ids), []).append(x % len(self.ids))
-        return out
-
-    def matches(self, h: np.ndarray, wanted: list[int], threshold: float) -> Iterator[tuple[int, float, int]]:
-        """(item, similarity, first word) of the best window of each wanted item that reaches the threshold, from a document's word hashes."""
-        for n in sorted({self.n_words[i] for i in wanted}):
-            columns = [j for j, i in enumerate(self.sizes[n]) if i in wanted]
-            which = [self.sizes[n][j] for j in columns]
+    def sizes_at(self, places: np.ndarray) -> list[int]:
+        """The sizes of the items that have any of these shingles."""
+        places = np.unique(places)
+        return sorted({n for p in places.tolist() for n in self.size_of[self.begin[p] : self.begin[p + 1]].tolist()})
+
+    def matches(self, h: np.ndarray, sizes: list[int], threshold: float) -> Iterator[tuple[int, float, int]]:
+        """(item, similarity, first word) of the best window of each item of these sizes that reaches the threshold, from a document's word hashes."""
+        for n in sizes:
+            which = self.sizes[n]
             size = min(n, len(h))  # a document shorter than the item is one window
             span = max(1, size - self.k + 1)
             s = sequence_hashes(h, size) if n < self.k else shingles_of(h, self.k)
             places = self.place(s)
-            mine = np.unique(np.concatenate([self.counts[i][0] for i in which]))
-            hits = np.flatnonzero(np.isin(places, mine))
+            hits = np.flatnonzero(np.isin(places, self.of_size[n]))
             last = len(s) - span
             edge = np.zeros(last + 2, np.int64)
             np.add.at(edge, np.maximum(hits - span + 1, 0), 1)
             np.add.at(edge, np.minimum(hits, last) + 1, -1)
             starts = np.flatnonzero(np.cumsum(edge)[: last + 1] > 0)
             best: dict[int, tuple[float, int]] = {}
-            for a in range(0, len(starts), 4096):
-                part = starts[a : a + 4096]
-                lo, hi = int(part[0]), int(part[-1]) + span
-                if hi - lo > 8 * (len(part) + span):  # far apart: by themselves
-                    groups = np.split(part, np.flatnonzero(np.diff(part) > span) + 1)
-                else:
-                    groups = [part]
-                for g in groups:
+            for a in range(0, len(starts), 2048):
+                part = starts[a : a + 2048]
+                for g in np.split(part, np.flatnonzero(np.diff(part) > span) + 1):  # far apart: by themselves
+                    if not len(g):
+                        continue
                     lo, hi = int(g[0]), int(g[-1]) + span
-                    sums = np.zeros((hi - lo + 1, 64), np.float64)
+                    sums = np.zeros((hi - lo + 1, BITS), np.float64)
                     np.cumsum(signs(s[lo:hi]) * self.weights(s[lo:hi])[:, None], axis=0, out=sums[1:])
                     prints = fingerprints(np.round(sums[g - lo + span] - sums[g - lo], 6))
-                    index = self.index[n][:, :, columns]
-                    near = np.zeros((len(g), len(which)), bool)
-                    for block in range(BLOCKS):
-                        near |= index[block][prints[:, block]]
-                    for w, j in np.argwhere(near):
-                        if _FLIPS[prints[w] ^ self.prints[n][columns[j]]].sum() <= RADIUS:
-                            similarity, start = self.similarity(which[j], places[g[w] : g[w] + span]), int(g[w])
-                            if similarity >= threshold and (-similarity, start) < best.get(which[j], (0.0, 0)):
-                                best[which[j]] = (-similarity, start)
-            for item, (negative, start) in best.items():
+                    for w, j in zip(*within_radius(prints, self.prints[n]), strict=True):
+                        similarity, start = self.similarity(which[j], places[g[w] : g[w] + span]), int(g[w])
+                        if similarity >= threshold and (-similarity, start) < best.get(which[j], (0.0, 0)):
+                            best[which[j]] = (-similarity, start)
+            for item, (negative, start) in sorted(best.items()):
                 yield item, -negative, start
 
 
-def _scan(sent, threshold: float, id_type: pa.DataType):
-    names = ["key", "doc_id", "item", "similarity", "first_word", "n_words"]
+def _found(items: Items, known: np.ndarray, column: pa.Array, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
+    """(value, item, similarity, first word, words) of the matches of a text column."""
+    lengths = [n for n in items.sizes if n < items.k] + [items.k]
+    data, offsets = utf8(column)
+    for a, b in chunks(offsets):
+        h, first = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        owner = np.repeat(np.arange(b - a), np.diff(first))
+        owners, places = [], []
+        for n in lengths:
+            s = sequence_hashes(h, n) if n < items.k else shingles_of(h, n) if len(h) >= n else np.zeros(0, np.uint64)
+            at = np.flatnonzero(known[(s >> np.uint64(44)).astype(np.int64)])
+            at = at[owner[at] == owner[at + n - 1]]  # within one document
+            place = items.place(s[at])
+            owners.append(owner[at][place >= 0])
+            places.append(place[place >= 0])
+        owners, places = np.concatenate(owners), np.concatenate(places)
+        order = np.argsort(owners, kind="stable")
+        owners, places = owners[order], places[order]
+        begins = np.flatnonzero(np.append(True, owners[1:] != owners[:-1])) if len(owners) else np.zeros(0, np.int64)
+        for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(owners)], strict=False):
+            i = int(owners[lo])
+            mine = h[first[i] : first[i + 1]]
+            for m, similarity, word in items.matches(mine, items.sizes_at(places[lo:hi]), threshold):
+                yield a + i, m, similarity, word, min(items.n_words[m], len(mine))
+
+
+def _prepared(sent) -> tuple[Items, np.ndarray]:
+    items = Items(*sent.value)
+    known = np.zeros(1 << 20, bool)  # a cheap look before the exact one
+    known[(items.known >> np.uint64(44)).astype(np.int64)] = True
+    return items, known
+
 
+def _scan(sent, threshold: float, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(*sent.value)
-        known = np.zeros(1 << 20, bool)  # a cheap look before the exact one
-        known[(items.known >> np.uint64(44)).astype(np.int64)] = True
-        lengths = [n for n in items.sizes if n < items.k] + [items.k]
+        items, known = _prepared(sent)
         for batch in batches:
-            rows: list[tuple] = []
-            data, offsets = utf8(batch.column("text"))
-            for a, b in chunks(offsets):
-                h, first = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                owner = np.repeat(np.arange(b - a), np.diff(first))
-                owners, found = [], []
-                for n in lengths:
-                    s = sequence_hashes(h, n) if n < items.k else shingles_of(h, n) if len(h) >= n else np.zeros(0, np.uint64)
-                    at = np.flatnonzero(known[(s >> np.uint64(44)).astype(np.int64)])
-                    at = at[owner[at] == owner[at + n - 1]]  # within one document
-                    places = items.place(s[at])
-                    owners.append(owner[at][places >= 0])
-                    found.append(places[places >= 0])
-                for i, wanted in items.candidates(np.concatenate(owners), np.concatenate(found), threshold).items():
-                    n_words = int(first[i + 1] - first[i])
-                    rows += [(a + i, items.ids[m], s, w, min(items.n_words[m], n_words)) for m, s, w in items.matches(h[first[i] : first[i + 1]], wanted, threshold)]
+            rows = list(_found(items, known, batch.column("text"), threshold))
             at = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("id").take(at), pa.array([r[1] for r in rows], id_type), *(pa.array([r[j] for r in rows], t) for j, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64())))], names)
+            rest = (pa.array([r[j] for r in rows], t) for j, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array([items.ids[r[1]] for r in rows], id_type), *rest], ["doc_id", "item", "similarity", "first_word", "n_words"])
+
+    return run
+
+
+def _without(sent, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, known = _prepared(sent)
+        for batch in batches:
+            stays = np.ones(len(batch), bool)
+            stays[[r[0] for r in _found(items, known, batch.column("text"), threshold)]] = False
+            yield batch.filter(pa.array(stays))
 
     return run
 
@@ -235,23 +259,36 @@ def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, k: int) -> It
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = 5, threshold: float = 0.75) -> DataFrame:
-    """(key, doc_id, item_id, similarity, first_word, n_words): for each document and item the best window (the first of equals)
+    """(doc_id, item_id, similarity, first_word, n_words): for each document and item the best window (the first of equals)
     of the item's number of words that covers ``threshold`` of the item's shingle weight, and the window's words.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the A-Z-lower-cased whole text; an item of fewer than ``k`` words is one
-    shingle. A document shorter than an item is itself the window. Null or empty texts match nothing. key is xxhash64(id, text), by
-    which repeated rows, which each get their matches, and rows without an id can be told. An empty table on
+    shingle. A document shorter than an item is itself the window. Null or empty texts match nothing. Repeated rows each get
+    their matches, and a null id is kept. Only the id and text columns are read, whatever others are called. An empty table on
     either side gives none.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     item_type = dict(benchmark.dtypes)[item_col]
     arrow = pa.int64() if item_type == "bigint" else pa.string()
-    base = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"key long, doc_id {dict(docs.dtypes)[id_col]}, item {'long' if item_type == 'bigint' else 'string'}, similarity double, first_word long, n_words long"
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = f"doc_id {dict(docs.dtypes)[id_col]}, item {'long' if item_type == 'bigint' else 'string'}, similarity double, first_word long, n_words long"
     out = spark.createDataFrame([], schema)
     items = benchmark if item_type == "bigint" else benchmark.withColumn(item_col, F.col(item_col).cast("string"))
     for block in _item_blocks(items, item_col, item_text, k):
-        sent = spark.sparkContext.broadcast(block)
-        out = out.unionByName(base.mapInArrow(_scan(sent, threshold, arrow), schema))
+        out = out.unionByName(base.mapInArrow(_scan(spark.sparkContext.broadcast(block), threshold, arrow), schema))
     return out.withColumn("item", F.col("item").cast(item_type)).withColumnRenamed("item", item_col)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text: str = "text", k: int = 5, threshold: float = 0.75) -> DataFrame:
+    """The rows of ``docs`` in which ``contaminated`` finds nothing, with all their columns as they are.
+
+    Rows leave where they are found, so none is told from another by a key: repeated rows stay or go together.
+    Null and empty texts stay; without items all rows do.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    out = packed_rows(docs, text=text_col)
+    for block in _item_blocks(benchmark.withColumn(item_text, F.col(item_text)), item_text, item_text, k):
+        out = out.mapInArrow(_without(spark.sparkContext.broadcast(block), threshold), out.schema)
+    return out.select("row.*")

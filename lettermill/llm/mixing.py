@@ -4,7 +4,8 @@ A document's expected number of copies grows with its size: min(3, c k), where k
 words) and c is chosen for each source so that the expected words are the source's target. The whole
 part are certain copies. The fraction is the inclusion probability p of one copy more, drawn in samples of fixed
 size: documents of one octave of sizes rank by their random odds divided by their inclusion odds,
-(u / (1 - u)) / (p / (1 - p)), and the first n have it, n being the sum of their p. Octaves go from the large
+(u / (1 - u)) / (p / (1 - p)), and the first n have it. n is the sum of their p, rounded up or down at random so that
+odds are kept in small octaves too, but to the nearest number where the smaller documents could not make up for one document. Octaves go from the large
 sizes to the small ones, and the words by which one misses what was expected of it are added to what the next one is to draw,
 so a source's sum comes near its target although each sample has a fixed size.
 u is a hash of id and text, so reruns agree.
@@ -15,6 +16,9 @@ no source is ever sorted, or seen by one task, as a whole.
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,17 +88,20 @@ def rank_cell(u: Column, p: Column) -> Column:
     return F.least((odds / (1 + odds) * CELLS).cast("int"), F.lit(CELLS - 1))
 
 
-def draw(classes: list[tuple[int, int, int, float]], cells: dict[int, list[tuple[int, int, int]]]) -> list[int]:
+def draw(classes: list[tuple[int, int, int, float]], cells: dict[int, list[tuple[int, int, int]]], starts: list[float]) -> list[int]:
     """The last cell that each octave's sample takes, -1 for none.
 
-    ``classes`` are (octave, documents, words, p), ``cells`` hold (cell, documents, words) by octave.
+    ``classes`` are (octave, documents, words, p), ``cells`` hold (cell, documents, words) by octave, ``starts`` a random number for each octave.
     """
     cuts, carried = [-1] * OCTAVES, 0.0
     for o in sorted(cells, reverse=True):
         number = sum(n * p for at, n, _, p in classes if at == o)
         words = sum(w * p for at, _, w, p in classes if at == o)
+        below = sum(w * p for at, _, w, p in classes if at < o)
+        spare = sum(w for at, _, w, _ in classes if at < o) - below
         goal = words + carried
-        wanted = number * goal / words
+        start = starts[o] if 2**o <= min(below, spare) else 0.5
+        wanted = math.floor(number * goal / words + start)
         best, taken, held, drawn = abs(wanted), 0, 0, 0
         for cell, n, w in sorted(cells[o]):
             held, drawn = held + n, drawn + w
@@ -104,15 +111,24 @@ def draw(classes: list[tuple[int, int, int, float]], cells: dict[int, list[tuple
     return cuts
 
 
-def _cuts(table: pa.Table) -> pa.Table:
-    classes, cells = [], {}
-    for r in table.to_pylist():
-        if r["cell"] is None:
-            classes.append((r["octave"], r["n"], r["words"], r["p"]))
-        else:
-            cells.setdefault(r["octave"], []).append((r["cell"], r["n"], r["words"]))
-    classes.sort(key=lambda x: x[2] * x[3])
-    return pa.table({"source": table["source"][:1], "cuts": pa.array([draw(classes, cells)], pa.list_(pa.int32()))})
+def _starts(source: str, seed: str) -> list[float]:
+    """A random number for each octave of a source."""
+    return [int(hashlib.md5(f"{seed}|{source}|{o}".encode()).hexdigest()[:13], 16) / float(1 << 52) for o in range(OCTAVES)]
+
+
+def _cuts(seed: str):
+    def run(table: pa.Table) -> pa.Table:
+        classes, cells = [], {}
+        for r in table.to_pylist():
+            if r["cell"] is None:
+                classes.append((r["octave"], r["n"], r["words"], r["p"]))
+            else:
+                cells.setdefault(r["octave"], []).append((r["cell"], r["n"], r["words"]))
+        source = table["source"][0].as_py()
+        cuts = draw(sorted(classes), cells, _starts("" if source is None else str(source), seed))
+        return pa.table({"source": table["source"][:1], "cuts": pa.array([cuts], pa.list_(pa.int32()))})
+
+    return run
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:
@@ -125,7 +141,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     key = random_key(id_col, text_col, seed)
     sized = docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
     small = stage(sized.select(F.col(source_col).alias("source"), "size", uniform(key).alias("u")), "sizes")
-    shares = stage(targets(small.groupBy("source").agg(F.sum("size").alias("source_size"))).drop("weight"), "targets")
+    shares = stage(targets(small.groupBy("source").agg(F.sum("size").alias("source_size")), weights).drop("weight"), "targets")
     some = small.where("size > 0").withColumns({"octave": octave(F.col("size")), "k": size_class("size")})
     classes = stage(some.groupBy("source", "octave", "k").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "classes")
     # c: classes reach MOST_COPIES from the largest on; each one's level is what is left for it and those below
@@ -146,7 +162,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     fractions = classes.join(plan, classes["source"].eqNullSafe(F.col("plan.source"))).withColumn("p", fraction).where("p > 0")
     folded = cells.unionByName(fractions.select(classes["source"], "octave", F.lit(None).cast("int").alias("cell"), "n", "words", "p"))
     # at most CELLS cells of each octave, however many documents a source has
-    cuts = folded.groupBy("source").applyInArrow(_cuts, f"source {dict(docs.dtypes)[source_col]}, cuts array<int>").select(F.struct("source", "cuts").alias("drawn"))
+    cuts = folded.groupBy("source").applyInArrow(_cuts(seed), f"source {dict(docs.dtypes)[source_col]}, cuts array<int>").select(F.struct("source", "cuts").alias("drawn"))
     decided = plan.join(cuts, F.col("plan.source").eqNullSafe(F.col("drawn.source")), "left")
     decided = stage(decided.select(F.struct("plan.source", "plan.source_size", "plan.target", "plan.c", "drawn.cuts").alias("__mix")), "mix")
 

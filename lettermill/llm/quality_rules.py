@@ -1,21 +1,25 @@
 """Host-level quality rules.
 
 Every document is measured in one pass; rule failures are summed by host; each host's failure
-rate is shrunk towards a beta prior that is fitted to the hosts' rates by moments, so that a host
-of few documents needs more than one bad page to be condemned; the verdicts are joined back.
+rates are shrunk towards a beta prior that is fitted to all hosts' rates by moments. The posterior of a rate,
+its mean and deviation, is the host's verdict on a rule, and the verdicts are joined back to the documents:
+
+* condemned: the rate is above ``host_limit``, by ``surety`` deviations at least;
+* suspect: it is above the mean rate of all hosts by as much; trusted: below it by as much; else neither.
 
 A document is rejected if
 
 * it fails a base rule (too few words, or too many words in repeated 8-word windows), or
-* its host's shrunk rate of any rule is above ``host_limit``, or
-* it fails a soft rule (symbols, repeated lines, word length) that its host is known to fail:
-  a shrunk rate of ``host_trust`` or more. On a host that practically never fails the rule, a
-  single failure is taken for an accident.
+* its host is condemned by any rule, or
+* it fails a soft rule (symbols, repeated lines, word length). The rule's limit is the strict one on a suspect host and the
+  lenient one on a trusted host, so the host turns the verdict on documents between the two, either way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,10 @@ WINDOW = 8
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 RULES = ("short", "repeats", "symbols", "lines", "word_length")
 SOFT = RULES[2:]
+#: For each soft rule its limits on a suspect host, on others and on a trusted host.
+SYMBOL_LIMITS = (0.05, 0.1, 0.2)
+LINE_LIMITS = (0.1, 0.2, 0.3)
+LENGTH_LIMITS = ((3.5, 9.0), (3.0, 10.0), (2.5, 12.0))
 
 
 def repeated_words(h: np.ndarray) -> int:
@@ -79,62 +87,77 @@ def _measure(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([pa.array(out[m], pa.int64()) for m in MEASURES], names=list(MEASURES))
 
 
-def failures(measures: str) -> dict[str, Column]:
-    """Each rule's failure, from a struct of measures."""
-    m = {x: F.col(f"{measures}.{x}") for x in MEASURES}
+def _measures(m: str) -> dict[str, Column]:
+    return {x: F.col(f"{m}.{x}") for x in MEASURES}
+
+
+def base_rules(measures: str) -> dict[str, Column]:
+    m = _measures(measures)
+    return {"short": m["n_words"] < 20, "repeats": 100 * m["n_repeat_words"] > 30 * m["n_words"]}
+
+
+def soft_rules(measures: str, tier: int) -> dict[str, Column]:
+    """The soft rules with their strict (0), plain (1) or lenient (2) limits."""
+    m = _measures(measures)
+    low, high = LENGTH_LIMITS[tier]
     return {
-        "short": m["n_words"] < 20,
-        "repeats": 100 * m["n_repeat_words"] > 30 * m["n_words"],
-        "symbols": 10 * m["n_symbols"] > m["n_words"],
-        "lines": 10 * m["n_dup_lines"] > 3 * m["n_lines"],
-        "word_length": (m["word_chars"] < 3 * m["n_words"]) | (m["word_chars"] > 10 * m["n_words"]),
+        "symbols": m["n_symbols"] > SYMBOL_LIMITS[tier] * m["n_words"],
+        "lines": m["n_dup_lines"] > LINE_LIMITS[tier] * m["n_lines"],
+        "word_length": (m["word_chars"] < low * m["n_words"]) | (m["word_chars"] > high * m["n_words"]),
     }
 
 
+def failures(measures: str) -> dict[str, Column]:
+    """Each rule's failure, from a struct of measures, with the plain limits."""
+    return base_rules(measures) | soft_rules(measures, 1)
+
+
 def beta_prior(mean: float | None, variance: float | None) -> tuple[float, float]:
-    """Beta parameters with that mean and variance; their sum, the documents that the prior counts for, is kept between 10 and 1000."""
-    if mean is None or mean <= 0.0 or mean >= 1.0:
-        return (0.0, 1.0) if not mean else (1.0, 0.0)
-    strength = mean * (1 - mean) / variance - 1 if variance else 1000.0
-    strength = min(max(strength, 10.0), 1000.0)
+    """Beta parameters with that mean and variance. Without any spread the prior outweighs every host; a rule that all documents of all hosts pass, or fail, has nothing to shrink."""
+    if mean is None or mean <= 0.0:
+        return 0.0, 1.0
+    if mean >= 1.0:
+        return 1.0, 0.0
+    strength = max(mean * (1 - mean) / variance - 1, 1e-6) if variance else 1e12
     return mean * strength, (1 - mean) * strength
 
 
-def host_verdicts(measured: DataFrame, host_col: str, measures: str, host_limit: float, host_trust: float) -> DataFrame:
-    """One row for each host (null is one): n_docs, and for each rule its shrunk rate and verdicts."""
+def host_verdicts(measured: DataFrame, host_col: str, measures: str, host_limit: float, surety: float) -> DataFrame:
+    """One row for each host (null is one): n_docs, and for each rule its shrunk rate, its deviation and its tier (0 suspect, 1 neither, 2 trusted), and host_failed."""
     rules = failures(measures)
     hosts = stage(measured.groupBy(F.col(host_col).alias("host")).agg(F.count("*").alias("n_docs"), *(F.count_if(c).alias(f"k_{r}") for r, c in rules.items())), "hosts")
     rates = {r: F.col(f"k_{r}") / F.col("n_docs") for r in rules}
     moments = hosts.agg(*(f(c).alias(f"{n}_{r}") for r, c in rates.items() for n, f in (("mean", F.avg), ("var", F.var_pop)))).first()
-    out = hosts
+    out, failed = hosts, F.lit(False)
     for r in rules:
         a, b = beta_prior(moments[f"mean_{r}"], moments[f"var_{r}"])
-        out = out.withColumn(f"rate_{r}", (F.col(f"k_{r}") + F.lit(a)) / (F.col("n_docs") + F.lit(a + b)))
-    bad = F.lit(False)
-    for r in rules:
-        bad = bad | (F.col(f"rate_{r}") > host_limit)
-    return out.withColumn("host_failed", bad).withColumns({f"fails_{r}": F.col(f"rate_{r}") >= host_trust for r in SOFT})
+        seen = F.col("n_docs") + F.lit(a + b)
+        out = out.withColumn(f"rate_{r}", (F.col(f"k_{r}") + F.lit(a)) / seen)
+        out = out.withColumn(f"spread_{r}", F.sqrt(F.col(f"rate_{r}") * (1 - F.col(f"rate_{r}")) / (seen + 1)))
+        low, high = F.col(f"rate_{r}") - surety * F.col(f"spread_{r}"), F.col(f"rate_{r}") + surety * F.col(f"spread_{r}")
+        mean = F.lit(moments[f"mean_{r}"])
+        out = out.withColumn(f"tier_{r}", F.when(low > mean, 0).when(high < mean, 2).otherwise(1))
+        failed = failed | (low > host_limit)
+    return out.withColumn("host_failed", failed)
 
 
-def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_limit: float = 0.5, host_trust: float = 0.002) -> DataFrame:
-    """``docs`` with the measures (a struct ``measures``), base_failed, host_failed and kept.
+def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_limit: float = 0.5, surety: float = 0.5, keep_text: bool = True) -> DataFrame:
+    """``docs`` with the measures (a struct ``measures``), base_failed, host_failed and kept; without the text column if that is not wanted.
 
     Words are ``[^\\x20\\x09-\\x0D]+``; a null or empty text has none and fails. A null host is a host of
     its own. Repeated rows are judged alike, all other columns stay, whatever their names are, unless one is called
     measures, base_failed, host_failed or kept, which are replaced. An empty table gives none.
     """
     bound_batches(docs.sparkSession)
-    names = docs.columns
     measure = F.arrow_udf(_measure, "struct<" + ",".join(f"{m}:bigint" for m in MEASURES) + ">", F.ArrowUDFType.SCALAR_ITER)
     measured = docs.withColumn("measures", measure(F.col(text_col)))
-    small = stage(measured.select(F.col(host_col).alias("host"), "measures"), "measures") if text_col in names else measured
-    hosts = host_verdicts(small, "host", "measures", host_limit, host_trust)
-    hosts = hosts.select(F.struct("host", "host_failed", *(f"fails_{r}" for r in SOFT)).alias("__host"))
-    rules = failures("measures")
-    base = rules["short"] | rules["repeats"]
-    own = F.lit(False)
-    for r in SOFT:
-        own = own | (rules[r] & F.col(f"__host.fails_{r}"))
+    measured = stage(measured if keep_text else measured.drop(text_col), "measures")
+    tiers = [f"tier_{r}" for r in SOFT]
+    hosts = host_verdicts(measured.select(F.col(host_col).alias("host"), "measures"), "host", "measures", host_limit, surety)
+    hosts = hosts.select(F.struct("host", "host_failed", *tiers).alias("__host"))
+    base = reduce(or_, base_rules("measures").values())
+    by_tier = [soft_rules("measures", t) for t in range(3)]
+    soft = reduce(or_, (F.when(F.col(f"__host.tier_{r}") == 0, by_tier[0][r]).when(F.col(f"__host.tier_{r}") == 2, by_tier[2][r]).otherwise(by_tier[1][r]) for r in SOFT))
     joined = measured.join(hosts, measured[host_col].eqNullSafe(F.col("__host.host")), "left")
-    judged = joined.withColumns({"base_failed": base, "host_failed": F.col("__host.host_failed"), "kept": ~(base | F.col("__host.host_failed") | own)})
+    judged = joined.withColumns({"base_failed": base, "host_failed": F.col("__host.host_failed"), "kept": ~(base | F.col("__host.host_failed") | soft)})
     return judged.drop("__host")

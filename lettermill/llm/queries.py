@@ -72,22 +72,25 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return judge(docs).select("doc_id", "measures.n_words", "measures.word_chars", "measures.n_symbols", "measures.n_dup_lines", "measures.n_repeat_words", "base_failed", "kept")
+    return judge(docs, keep_text=False).select("doc_id", "measures.n_words", "measures.word_chars", "measures.n_symbols", "measures.n_dup_lines", "measures.n_repeat_words", "base_failed", "kept")
 
 
 def _rule_sql(name: str, condition: str) -> str:
+    """A host's shrunk rate of a rule with its deviation, and its tier: 0 suspect, 1 neither, 2 trusted."""
     return f"""
   {name}_h AS (SELECT source, count(*) AS n, count(*) FILTER ({condition}) AS k FROM m GROUP BY source),
   {name}_p AS (SELECT avg(k / n) AS mu, var_pop(k / n) AS v FROM {name}_h),
-  {name}_s AS (SELECT mu, CASE WHEN mu <= 0 OR mu >= 1 THEN 1.0 WHEN v = 0 THEN 1000.0 ELSE least(1000.0, greatest(10.0, mu * (1 - mu) / v - 1)) END AS st FROM {name}_p),
-  {name}_r AS (SELECT source, (k + mu * st) / (n + st) AS rate FROM {name}_h, {name}_s)"""
+  {name}_s AS (SELECT mu, CASE WHEN mu <= 0 OR mu >= 1 THEN 1.0 WHEN v = 0 THEN 1e12 ELSE greatest(1e-6, mu * (1 - mu) / v - 1) END AS st FROM {name}_p),
+  {name}_r AS (SELECT source, mu, st, n, (k + mu * st) / (n + st) AS rate FROM {name}_h, {name}_s),
+  {name}_t AS (SELECT source, rate - 0.5 * sqrt(rate * (1 - rate) / (n + st + 1)) > 0.5 AS condemned,
+    CASE WHEN rate - 0.5 * sqrt(rate * (1 - rate) / (n + st + 1)) > mu THEN 0 WHEN rate + 0.5 * sqrt(rate * (1 - rate) / (n + st + 1)) < mu THEN 2 ELSE 1 END AS tier FROM {name}_r)"""
 
 
 RULE_SQL = {
     "short": "n_words < 20",
     "repeats": "100 * n_repeat_words > 30 * n_words",
-    "symbols": "10 * n_symbols > n_words",
-    "lines": "10 * n_dup_lines > 3 * n_lines",
+    "symbols": "n_symbols > 0.1::DOUBLE * n_words",
+    "lines": "n_dup_lines > 0.2::DOUBLE * n_lines",
     "word_length": "word_chars < 3 * n_words OR word_chars > 10 * n_words",
 }
 ORACLE["op1_quality_rules"] = rf"""
@@ -103,11 +106,12 @@ WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(co
       CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
     FROM w JOIN l USING (doc_id) LEFT JOIN g3 USING (doc_id)),{",".join(_rule_sql(k, v) for k, v in RULE_SQL.items())}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({RULE_SQL["short"]} OR {RULE_SQL["repeats"]}) AS base_failed,
-  NOT ({RULE_SQL["short"]} OR {RULE_SQL["repeats"]} OR greatest(a.rate, b.rate, c.rate, d.rate, e.rate) > 0.5
-    OR (({RULE_SQL["symbols"]}) AND c.rate >= 0.002) OR (({RULE_SQL["lines"]}) AND d.rate >= 0.002) OR (({RULE_SQL["word_length"]}) AND e.rate >= 0.002)) AS kept
-FROM m JOIN short_r a ON a.source IS NOT DISTINCT FROM m.source JOIN repeats_r b ON b.source IS NOT DISTINCT FROM m.source
-  JOIN symbols_r c ON c.source IS NOT DISTINCT FROM m.source JOIN lines_r d ON d.source IS NOT DISTINCT FROM m.source
-  JOIN word_length_r e ON e.source IS NOT DISTINCT FROM m.source
+  NOT ({RULE_SQL["short"]} OR {RULE_SQL["repeats"]} OR a.condemned OR b.condemned OR c.condemned OR d.condemned OR e.condemned
+    OR n_symbols > ([0.05, 0.1, 0.2])[c.tier + 1]::DOUBLE * n_words OR n_dup_lines > ([0.1, 0.2, 0.3])[d.tier + 1]::DOUBLE * n_lines
+    OR word_chars < ([3.5, 3.0, 2.5])[e.tier + 1]::DOUBLE * n_words OR word_chars > ([9.0, 10.0, 12.0])[e.tier + 1]::DOUBLE * n_words) AS kept
+FROM m JOIN short_t a ON a.source IS NOT DISTINCT FROM m.source JOIN repeats_t b ON b.source IS NOT DISTINCT FROM m.source
+  JOIN symbols_t c ON c.source IS NOT DISTINCT FROM m.source JOIN lines_t d ON d.source IS NOT DISTINCT FROM m.source
+  JOIN word_length_t e ON e.source IS NOT DISTINCT FROM m.source
 """
 
 
@@ -134,13 +138,16 @@ f AS (SELECT sid, arg_max(level, k) AS c FROM levels WHERE level * k <= 3 GROUP
 e AS (SELECT x.*, CASE WHEN c IS NULL THEN 3::DOUBLE ELSE least(3::DOUBLE, c * k) END AS copies FROM x LEFT JOIN f USING (sid)),
 odds AS (SELECT *, copies - floor(copies) AS p, u / (1 - u) / ((copies - floor(copies)) / (1 - (copies - floor(copies)))) AS odds FROM e),
 ranks AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN least(CAST(floor(odds / (1 + odds) * 4096) AS INTEGER), 4095) END AS cell FROM odds),
-g AS (SELECT sid, o, sum(n * p) AS number, sum(words * p) AS words FROM (SELECT sid, o, k, p, count(*) AS n, sum(size) AS words FROM ranks WHERE cell IS NOT NULL GROUP BY ALL) GROUP BY sid, o),
+g0 AS (SELECT sid, o, sum(n * p) AS number, sum(words * p) AS words, sum(words) AS all_words FROM (SELECT sid, o, k, p, count(*) AS n, sum(size) AS words FROM ranks WHERE cell IS NOT NULL GROUP BY ALL) GROUP BY sid, o),
+g1 AS (SELECT g0.*, source, coalesce(sum(words) OVER b, 0) AS below, coalesce(sum(all_words) OVER b, 0) - coalesce(sum(words) OVER b, 0) AS spare
+  FROM g0 JOIN t USING (sid) WINDOW b AS (PARTITION BY sid ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT sid, o, number, words, CASE WHEN 2::DOUBLE ** o <= least(below, spare) THEN CAST('0x' || substr(md5('mix|' || coalesce(source, '') || '|' || o), 1, 13) AS BIGINT) / 4503599627370496::DOUBLE ELSE 0.5::DOUBLE END AS start FROM g1),
 ends AS (SELECT sid, o, cell, sum(n) OVER b AS held, sum(words) OVER b AS drawn FROM (SELECT sid, o, cell, count(*) AS n, sum(size) AS words FROM ranks WHERE cell IS NOT NULL GROUP BY ALL)
   WINDOW b AS (PARTITION BY sid, o ORDER BY cell) UNION ALL SELECT sid, o, -1, 0, 0 FROM g),
 fold AS (SELECT sid, 64 AS o, 0::DOUBLE AS carried, -1 AS cut FROM t
-  UNION ALL SELECT fold.sid, fold.o - 1, CASE WHEN g.words IS NULL THEN fold.carried ELSE g.words + fold.carried - arg_min(drawn::DOUBLE, (abs(held - g.number * (g.words + fold.carried) / g.words), held)) END,
-    coalesce(arg_min(cell, (abs(held - g.number * (g.words + fold.carried) / g.words), held)), -1)
-  FROM fold LEFT JOIN g ON g.sid = fold.sid AND g.o = fold.o - 1 LEFT JOIN ends ON ends.sid = fold.sid AND ends.o = fold.o - 1 WHERE fold.o > 1 GROUP BY fold.sid, fold.o, fold.carried, g.words, g.number)
+  UNION ALL SELECT fold.sid, fold.o - 1, CASE WHEN g.words IS NULL THEN fold.carried ELSE g.words + fold.carried - arg_min(drawn::DOUBLE, (abs(held - floor(g.number * (g.words + fold.carried) / g.words + g.start)), held)) END,
+    coalesce(arg_min(cell, (abs(held - floor(g.number * (g.words + fold.carried) / g.words + g.start)), held)), -1)
+  FROM fold LEFT JOIN g ON g.sid = fold.sid AND g.o = fold.o - 1 LEFT JOIN ends ON ends.sid = fold.sid AND ends.o = fold.o - 1 WHERE fold.o > 1 GROUP BY fold.sid, fold.o, fold.carried, g.words, g.number, g.start)
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN size * (floor(copies) + CASE WHEN coalesce(cell <= cut, false) THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken
 FROM ranks LEFT JOIN fold ON fold.sid = ranks.sid AND fold.o = ranks.o
 """

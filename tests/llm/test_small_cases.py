@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -159,11 +160,38 @@ def test_quality(docs, empty):
 
 def test_bad_host(spark):
     good, bad = " ".join(WORD() for _ in range(30)), " ".join(f"{WORD()}###" for _ in range(30))
-    rows = [(i, good if i % 10 else bad, f"h{i % 7}") for i in range(200)] + [(1000 + i, bad if i % 5 else good, "spam") for i in range(50)] + [(2000, bad, "new")]
+    rows = [(i, good if i % 10 else bad, f"h{i % 7}") for i in range(200)] + [(1000 + i, bad if i % 5 else good, "spam") for i in range(50)] + [(2000, good, "new")]
     kept = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert not any(kept[1000 + i].kept for i in range(50)) and kept[1000].host_failed
     assert all(kept[i].kept == bool(i % 10) for i in range(200))
-    assert not kept[2000].host_failed
+    assert not kept[2000].host_failed and kept[2000].kept
+
+
+def own_verdict(measures):
+    """Rejected by the rules themselves, whatever the host."""
+    from functools import reduce
+    from operator import or_
+
+    return ~reduce(or_, quality_rules.failures(measures).values())
+
+
+def test_host_turns_verdicts_both_ways(spark):
+    """The same text, by its own rules good or bad, is judged by its host."""
+    line = lambda: " ".join(WORD() for _ in range(12))
+    repeated = lambda share: "\n".join([line() for _ in range(100 - share)] + ["same line here"] * (share + 1))
+    between, above, clean = repeated(15), repeated(25), repeated(0)
+    rows = [(i, clean, "clean") for i in range(300)] + [(1000 + i, above if i % 3 else clean, "dirty") for i in range(100)]
+    rows += [(5000, above, "clean"), (5001, between, "dirty"), (5002, between, "clean"), (5003, between, "new"), (5004, above, "new")]
+    got = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id >= 5000").withColumn("own", own_verdict("measures"))
+    kept = {r.doc_id: (r.own, r.kept) for r in got.collect()}
+    assert kept[5000] == (False, True) and kept[5001] == (True, False) and kept[5002] == (True, True)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_host_turns_verdicts_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "source")
+    turned = {(r.own, r.kept) for r in quality_rules.judge(docs, keep_text=False).select(own_verdict("measures").alias("own"), "kept").distinct().collect()}
+    assert turned == {(True, True), (False, False), (True, False), (False, True)}
 
 
 def test_tokens(docs, empty):
@@ -230,9 +258,9 @@ def test_decontamination(spark, docs, empty):
 
 def test_decontamination_in_blocks(spark, docs, monkeypatch):
     items = spark.createDataFrame([(i, " ".join(PROSE[i].split()[:25])) for i in range(10)], "item_id long, text string")
-    whole = sorted(map(tuple, decontaminate.contaminated(docs, items).select("key", "item_id", "first_word").collect()))
+    whole = sorted(map(tuple, decontaminate.contaminated(docs, items).select(F.coalesce("doc_id", F.lit(-1)), "item_id", "first_word", F.round("similarity", 9)).collect()))
     monkeypatch.setattr(decontaminate, "MOST_ITEMS", 4)
-    assert sorted(map(tuple, decontaminate.contaminated(docs, items).select("key", "item_id", "first_word").collect())) == whole
+    assert sorted(map(tuple, decontaminate.contaminated(docs, items).select(F.coalesce("doc_id", F.lit(-1)), "item_id", "first_word", F.round("similarity", 9)).collect())) == whole
 
 
 def test_decontamination_of_short_documents(spark):
@@ -263,6 +291,69 @@ def test_decontamination_weights_over_all_blocks(spark, monkeypatch):
     assert run() == brute
 
 
+def coverage(item, window, weight):
+    have, total = Counter(window), sum(weight(x) * n for x, n in Counter(item).items())
+    return sum(weight(x) * min(n, have[x]) for x, n in Counter(item).items()) / total
+
+
+def windows_brute(docs, items, threshold=0.75):
+    """(doc, item): best coverage and its first word, over all windows of all items."""
+    gram = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
+    grams = {i: gram(w) for i, w in items.items()}
+    df = Counter(x for g in grams.values() for x in set(g))
+    weight = lambda x: math.log1p(len(items) / df[x]) if df[x] else math.log1p(len(items))
+    out = {}
+    for d, w in docs.items():
+        for i, g in grams.items():
+            n = min(len(items[i]), len(w))
+            best = max(((coverage(g, gram(w[a : a + n]), weight), -a) for a in range(len(w) - n + 1)), default=(0.0, 0)) if n else (0.0, 0)
+            if best[0] >= threshold:
+                out[d, i] = (pytest.approx(best[0]), -best[1])
+    return out
+
+
+def test_decontamination_recall(monkeypatch):
+    """Edited items inside documents, against brute force; the fingerprints alone decide what is looked at."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    phrase = some(9)
+    items = {i: some(rng.randrange(3, 60)) + (phrase if i % 3 == 0 else []) for i in range(40)}
+    docs = {}
+    for d in range(200):
+        item = list(items[d % 40])
+        for _ in range(rng.randrange(0, 4)):
+            at = rng.randrange(len(item))
+            item[at : at + rng.randrange(2)] = some(rng.randrange(2))
+        docs[d] = some(rng.randrange(0, 40)) + item[rng.randrange(4) :] + some(rng.randrange(0, 40))
+    want = windows_brute(docs, items)
+    held = decontaminate.Items(list(items), [" ".join(w) for w in items.values()], 5)
+    import numpy as np
+    import pyarrow as pa
+
+    def run():
+        known = np.ones(1 << 20, bool)
+        return {(d, held.ids[i]): (s, w) for d, i, s, w, _ in decontaminate._found(held, known, pa.array([" ".join(w) for w in docs.values()]), 0.75)}
+
+    got = run()
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want) > 100
+    assert sum(got[p] == want[p] for p in got) >= 0.98 * len(want)  # similarity and place
+    weak = [p for p, (s, _) in want.items() if s.expected < 0.85]
+    assert len(weak) > 10 and sum(p in got for p in weak) >= 0.9 * len(weak)
+    monkeypatch.setattr(decontaminate, "RADIUS", 7)
+    assert len(run()) < 0.6 * len(want)
+
+
+def test_decontaminated_keeps_columns(spark, docs, empty):
+    items = spark.createDataFrame([(1, " ".join(PROSE[0].split()[:25])), (2, "one two")], "item_id long, text string")
+    found = {r.doc_id for r in decontaminate.contaminated(docs, items).collect()}
+    odd = docs.withColumns({"row": F.lit(1), "item": F.lit("x"), "id": F.lit("y"), "similarity": F.lit(2)})
+    kept = decontaminate.decontaminated(odd, items)
+    assert kept.schema == odd.schema
+    assert sorted(kept.collect(), key=repr) == sorted(odd.where(~F.coalesce(F.col("doc_id").isin(list(found)), F.lit(False))).collect(), key=repr)
+    assert decontaminate.decontaminated(empty, items).count() == 0 and decontaminate.decontaminated(docs, items.where("false")).count() == len(ROWS)
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).select("doc_id", "source", "text", "size", "source_size", "target", "copies").collect()
     assert len(rows) == len(ROWS) and all(r["size"] == len(words(r.text)) and 0 <= r.copies <= 3 for r in rows)
@@ -273,7 +364,27 @@ def test_mixing(docs, empty):
     again = mixing.mix(docs).select("doc_id", "source", "text", "copies")
     assert Counter((r.doc_id, r.text, r.copies) for r in again.collect()) == Counter((r.doc_id, r.text, r.copies) for r in rows)
     assert mixing.mix(empty).count() == 0
-    assert all(r.copies == 0 or r["size"] == 0 for r in mixing.mix(docs.where("doc_id is null and text is null")).collect())
+    assert all(r.copies == 0 for r in mixing.mix(docs.where("doc_id is null and text is null")).collect())
+
+
+def test_mixing_frequencies(spark):
+    """300 sources of the same make-up: how often a document of each size is taken is what its inclusion odds say."""
+    sizes = {17: 12, 23: 12, 30: 12, 70: 12, 100: 12, 126: 12, 300: 3, 490: 2}
+    rows = [(s * 1000 + 100 * j + i, " ".join(["w"] * n), f"s{s}") for s in range(300) for j, (n, times) in enumerate(sizes.items()) for i in range(times)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8), weights=(1,))
+    kind = {r["size"]: (r.c, r.v) for r in got.groupBy("size").agg(F.avg("copies").alias("c"), F.count("*").alias("v")).collect()}
+    k = {n: 16 * (n.bit_length() - 1) + (n << 5 >> n.bit_length()) for n in sizes}
+    total = sum(n * t for n, t in sizes.items())
+    c = total / sum(k[n] * n * t for n, t in sizes.items())
+    assert max(c * x for x in k.values()) < 3
+    for n, (mean, count) in kind.items():
+        p = c * k[n] % 1
+        assert abs(mean - c * k[n]) < 4.5 * math.sqrt(p * (1 - p) / count) + 0.02
+    # in one octave the larger ones are taken more often, which a draw by random numbers alone would not do
+    assert kind[30][0] - kind[17][0] > 0.7 * c * (k[30] - k[17]) and kind[126][0] - kind[70][0] > 0.7 * c * (k[126] - k[70])
+    assert all(r.copies >= int(c * k[r["size"]]) for r in got.select("size", "copies").distinct().collect())  # certain copies
+    taken = got.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()
+    assert sum(abs(r.taken - total) for r in taken) / len(taken) < 0.02 * total
 
 
 def test_mixing_targets(spark):
