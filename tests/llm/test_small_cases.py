@@ -5,8 +5,11 @@ import math
 import os
 import random
 import re
+import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,6 +249,35 @@ def test_line_classes(spark):
         assert [kept[i].n_removed for i in range(6)] == [0, 1, 1, 1, 1, 1]
 
 
+def _near_copies(n, edits, seed=3):
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    return [" ".join(f"x{rng.random()}" if i in drop else w for i, w in enumerate(base)) for drop in (set(rng.sample(range(150), rng.randrange(edits))) for _ in range(n))]
+
+
+def _least_linked(texts):
+    """The least index that each text's links reach, from the products of all pairs."""
+    sets = list(jaccard_join.shingle_sets(pa.array(texts, pa.large_string()), 5))
+    every, at = np.unique(np.concatenate(sets), return_inverse=True)
+    x = np.zeros((len(sets), len(every)), np.float32)
+    x[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), at] = 1
+    both, n = x @ x.T, x.sum(1)
+    links, least = 100 * both >= 75 * (n[:, None] + n[None, :] - both), np.arange(len(sets))
+    while (now := np.where(links, least[None, :], len(sets)).min(1)).tolist() != least.tolist():
+        least = now
+    return least.tolist()
+
+
+def test_cluster_search_of_many_near_copies():
+    texts = _near_copies(1200, 13)
+    began = time.process_time()
+    roots = jaccard_join.search_cluster(5, 75)(pa.array(texts, pa.large_string()))
+    took = time.process_time() - began
+    first = {}
+    assert [first.setdefault(r, i) for i, r in enumerate(roots)] == _least_linked(texts)
+    assert 10 < len(first) < 1200 and took < 10  # seconds; a merge through a heap took 18
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, " ".join(PROSE[0].split()[:25])), (2, " ".join(WORD() for _ in range(30))), (3, None), (4, "one two"), (5, ""), (6, " ".join(near(PROSE[7], 3).split()[:60]))], "item_id long, text string")
     found = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, items).collect()}
