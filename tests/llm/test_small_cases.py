@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lettermill.llm import decontaminate, jaccard_join, line_dedup, mixing, quality_rules, secret_scan, sharding, suffix_dedup, token_counts, warc
+from lettermill.llm import decontaminate, jaccard_join, line_dedup, linking, mixing, quality_rules, secret_scan, sharding, suffix_dedup, token_counts, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `key` string, size string, kept int"
 random.seed(5)
@@ -278,6 +278,17 @@ def test_cluster_search_of_many_near_copies():
     assert 10 < len(first) < 1200 and took < 10  # seconds; a merge through a heap took 18
 
 
+def test_large_cluster_by_parts(spark, monkeypatch):
+    texts = _near_copies(150, 13)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = []
+    kept = linking._linked_pairs
+    monkeypatch.setattr(linking, "_linked_pairs", lambda *a: (asked.append(1), kept(*a))[1])
+    got = dict(tuple(r) for r in jaccard_join.jaccard_components(df, cluster=40).select("doc_id", "component_id").collect())
+    assert [got[i] for i in range(150)] == _least_linked(texts)
+    assert not asked  # lists that hold nearly the whole cluster are not expanded into pairs
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, " ".join(PROSE[0].split()[:25])), (2, " ".join(WORD() for _ in range(30))), (3, None), (4, "one two"), (5, ""), (6, " ".join(near(PROSE[7], 3).split()[:60]))], "item_id long, text string")
     found = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, items).collect()}
